@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, token_store
+from skein.llm import packing, secrets, token_store, topk
 from skein.llm.common import table
 from skein.llm.encoding import vocabulary
 
@@ -19,8 +19,33 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_token_files": op6_token_files,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_exact_top_k": op9_exact_top_k,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_top_k": """
+        WITH code AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), part AS (
+            SELECT vec_id, generate_subscripts(c, 1) AS i, unnest(c) AS v, len(c) AS n FROM code
+        ), score AS (
+            SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(sum(q.v * p.v) AS BIGINT) AS score
+            FROM part q JOIN part p ON q.i = p.i AND q.n = p.n AND q.vec_id <> p.vec_id
+            WHERE q.vec_id % 20 = 0 GROUP BY ALL
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM score
+        ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }
-ORACLE_SQL: dict[str, str] = {}
