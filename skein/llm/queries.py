@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, secrets, token_store, topk
+from skein.llm import attribution, languages, packing, quality, secrets, token_store, topk
 from skein.llm.common import table
 from skein.llm.encoding import vocabulary
 
@@ -15,6 +15,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.by_line(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -27,11 +35,18 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op5_token_attribution": op5_token_attribution,
     "op6_token_files": op6_token_files,
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_top_k": """
