@@ -45,36 +45,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = bool(self._ids(" "))
         self.chunks = (BYTES if self.keeps_space else WORDS).findall
-        self.glue = f"\n{SEPARATOR}\n"
-        self.glue_ids = self._ids(f"a{self.glue}a")[1:-1]
+        self.glue = "\n" if self.keeps_space else f" {SEPARATOR} "
+        (self.glue_id,) = self._ids(f"a{self.glue}a")[1:-1]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = None
+        if not self.keeps_space and any(t.endswith("</w>") for t in vocabulary):
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.limit = limit
         self.known: dict[str, bytes] = {}
-        self.spans: dict[str, tuple[bytes, bytes]] = {}
+        self.widths: np.ndarray | None = None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        plain = [c for c in new if SEPARATOR not in c and not c.isspace()]
-        for c in set(new).difference(plain):
-            self.known[c] = np.array(self._ids(c), "<u4").tobytes()
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        k = len(self.glue_ids)
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.glue.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            hits = np.ones(max(0, len(ids) - k + 1), bool)
-            for j, t in enumerate(self.glue_ids):
-                hits &= ids[j : len(ids) - k + 1 + j] == t
-            at = np.flatnonzero(hits)
-            if len(at) != len(group) - 1:
-                for c in group:
-                    self.known[c] = np.array(self._ids(c), "<u4").tobytes()
-                continue
-            raw = ids.tobytes()
-            for c, a, b in zip(group, [0, *(4 * (at + k)).tolist()], [*(4 * at).tolist(), len(raw)]):
-                self.known[c] = raw[a:b]
+        """Many chunks to a call, told apart in the ids by what joins them, or by
+        the word-end ids where a chunk is one word of a vocabulary with such."""
+        whole = [c for c in new if c.isalpha()] if self.ends is not None else []
+        rest = set(new).difference(whole)
+        plain = [c for c in rest if SEPARATOR not in c and not c.isspace()]
+        for c in rest.difference(plain):
+            self._learn_one(c)
+        for chunks, glue in ((whole, " "), (plain, self.glue)):
+            groups = [chunks[i : i + 64] for i in range(0, len(chunks), 64)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                if chunks is whole:
+                    stops = np.flatnonzero(self.ends[ids]) + 1
+                    starts = np.append(0, stops)[:-1]
+                else:
+                    at = np.flatnonzero(ids == self.glue_id)
+                    starts, stops = np.append(0, at + 1), np.append(at, len(ids))
+                if len(starts) != len(group):
+                    for c in group:
+                        self._learn_one(c)
+                    continue
+                raw = ids.tobytes()
+                for c, a, b in zip(group, (4 * starts).tolist(), (4 * stops).tolist()):
+                    self.known[c] = raw[a:b]
+
+    def _learn_one(self, chunk: str) -> None:
+        self.known[chunk] = np.array(self._ids(chunk), "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
@@ -83,29 +95,30 @@ class Encoder:
             met.update(c)
         if len(self.known) + len(met) > self.limit:
             self.known.clear()
-        new = [c for c in met if c not in self.known]
+        new = met.difference(self.known)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
-    def token_spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Character start and end of each id of a text (byte vocabularies,
-        whose chunks cover the text without gaps)."""
-        cut = self.chunks(text)
-        if len(self.spans) > self.limit // 2:
-            self.spans.clear()
-        for c in set(cut):
-            if c not in self.spans:
-                offsets = np.array(self.tokenizer.encode(c, add_special_tokens=False).offsets, "<u4").reshape(-1, 2)
-                self.spans[c] = offsets[:, 0].tobytes(), offsets[:, 1].tobytes()
-        got = [self.spans[c] for c in cut]
-        sizes = np.fromiter((len(c) for c in cut), np.int64, len(cut))
-        counts = np.fromiter((len(g[0]) // 4 for g in got), np.int64, len(cut))
-        base = np.repeat(np.cumsum(sizes) - sizes, counts)
-        starts = np.frombuffer(b"".join(g[0] for g in got), "<u4") + base
-        ends = np.frombuffer(b"".join(g[1] for g in got), "<u4") + base
-        return starts, ends
+    def token_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Character start and end of each id of each text, for byte-level
+        vocabularies: every id stands for a fixed number of bytes of the text,
+        and a part of a character has the span of that character."""
+        if self.widths is None:
+            known = self.tokenizer.get_vocab()
+            self.widths = np.zeros(max(known.values()) + 1, np.int64)
+            self.widths[list(known.values())] = list(map(len, known))
+        out = []
+        for text, raw in zip(texts, self.ids(texts)):
+            ends = np.cumsum(self.widths[np.frombuffer(raw, "<u4")])
+            starts = np.append(0, ends)[:-1]
+            if not text.isascii():
+                encoded = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                character = np.cumsum((encoded & 0xC0) != 0x80)
+                starts, ends = character[starts] - 1, character[ends - 1]
+            out.append((starts, ends))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -182,7 +182,7 @@ def scan(manifest: DataFrame) -> DataFrame:
                         }
                     )
 
-    spread = manifest.select("shard", "path", "start").repartition(F.col("shard"))
+    spread = manifest.select("shard", "path", "start").repartition(max(1, manifest.count()))
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
