@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import attribution, languages, near_dup, packing, quality, secrets, token_store, topk
+from skein.llm import attribution, decontaminate, languages, near_dup, packing, quality, secrets, token_store, topk
 from skein.llm.common import table
 from skein.llm.encoding import vocabulary
 
@@ -31,6 +31,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_files(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_token_attribution": op5_token_attribution,
     "op6_token_files": op6_token_files,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality": op10_quality,
