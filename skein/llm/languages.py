@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,3 +220,18 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out, lang_pred, score, entropy."""
     learned = sample(docs.where(~held_out()))
     return predict(docs, learned).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "entropy")
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows and columns of documents whose text has a known language: those
+    that predict() does not call UNKNOWN. The model is learned from the table
+    itself; held-out rows play no part in it."""
+    ship(docs.sparkSession)
+    learned = sample(docs.where(~held_out()))
+
+    @F.pandas_udf("string")
+    def language(column: pd.Series) -> pd.Series:
+        known, texts = parser(learned), column.fillna("").tolist()
+        return pd.Series([p[0] for lo, hi in pieces(texts) for p in known.predict(texts[lo:hi])], index=column.index, dtype=object)
+
+    return docs.where(language("text") != UNKNOWN)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import attribution, decontaminate, languages, near_dup, packing, quality, secrets, token_store, topk
+from skein.llm import attribution, decontaminate, languages, near_dup, packing, private, quality, secrets, token_store, topk
 from skein.llm.common import table
 from skein.llm.encoding import vocabulary
 
@@ -15,6 +15,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
@@ -49,6 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_personal_data": op2_personal_data,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_token_attribution": op5_token_attribution,
