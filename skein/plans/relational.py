@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators.joins import top_n_per_key
 from skein.plans.registry import query
 from skein.sources import formats
-from skein.sources.calendar import CalendarSource
+from skein.sources.calendar import calendar_source
 from skein.sources.tables import table
 
 
@@ -61,7 +61,7 @@ def scan4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(d AS DATE) AS day, CAST(dayofyear(d) AS INTEGER) AS day_of_year
     FROM generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1997-12-31', INTERVAL 1 DAY) g(d)""")
 def scan5_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(CalendarSource)
+    spark.dataSource.register(calendar_source())
     days = spark.read.format("calendar").options(start="1996-01-01", stop="1997-12-31", slices="4").load()
     return days.select("day", F.dayofyear("day").alias("day_of_year"))
 
