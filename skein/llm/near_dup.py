@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -147,22 +148,32 @@ def signed(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(sign, SIGNED)
 
 
+@lru_cache(4096)
+def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of a text, their counts and the sum of these. A text is in many
+    pairs of its group, so a worker keeps the latest."""
+    hashes, counts = shingles(word(text.lower()))
+    return hashes, counts.astype(np.int32), int(counts.sum())
+
+
+def reaches(a: tuple, b: tuple, threshold: float) -> bool:
+    """Whether the weighted Jaccard similarity of two bags is high enough."""
+    if min(a[2], b[2]) < threshold * max(a[2], b[2]):
+        return False
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    both = int(np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum())
+    return both >= threshold * (a[2] + b[2] - both)
+
+
 def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of which the weighted Jaccard similarity reaches threshold."""
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        last, kept = None, None
         for batch in batches:
-            good = []
-            for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                if a != last:
-                    last, kept = a, shingles(word(x.lower()))
-                h, w = shingles(word(y.lower()))
-                _, i, j = np.intersect1d(kept[0], h, assume_unique=True, return_indices=True)
-                both = int(np.minimum(kept[1][i], w[j]).sum())
-                good.append(both >= threshold * (int(kept[1].sum()) + int(w.sum()) - both))
+            good = [reaches(bag(x), bag(y), threshold) for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_a = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
