@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.arrays import dot, norm
+from skein.functions.arrays import norm
 from skein.functions.text import normalised
 from skein.plans.registry import query
 from skein.sources.tables import table
@@ -100,15 +100,6 @@ def fn_arr_higher_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-    WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
-    SELECT a.vec_id AS vec_id, round(sum(a.x * b.x), 5) AS similarity FROM v a JOIN v b ON a.i = b.i WHERE b.vec_id = 0 GROUP BY a.vec_id""")
-def vec1_similarity_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    one = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return vectors.crossJoin(F.broadcast(one)).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("similarity"))
-
-
 @query("""
     SELECT event_type, CAST(map_extract_value(MAP {'click': 1, 'view': 2, 'purchase': 3}, event_type) AS INTEGER) AS code, count(*) AS n
     FROM events GROUP BY ALL""")

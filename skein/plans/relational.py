@@ -92,13 +92,13 @@ def join1_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outer(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id").select("label_id", "quality")
     return docs.join(labels, F.col("doc_id") == F.col("label_id"), how)
 
 
 OUTER = """
-    SELECT doc_id, lang, label_id, quality FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0) d
+    SELECT doc_id, lang, label_id, quality FROM (SELECT doc_id, lang FROM documents WHERE lang = 'en') d
     {} JOIN (SELECT doc_id AS label_id, quality FROM labels) l ON doc_id = label_id"""
 
 
@@ -204,10 +204,10 @@ def join9_regional_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS price FROM orders
-    ORDER BY price ASC NULLS LAST, o_orderkey LIMIT 100""")
+    ORDER BY price ASC NULLS LAST, o_orderkey""")
 def sort1_explicit_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price")).orderBy(F.asc_nulls_last("price"), "o_orderkey").limit(100)
+    return table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price")).orderBy(F.asc_nulls_last("price"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
