@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import attribution, decontaminate, languages, near_dup, packing, private, quality, secrets, token_store, topk
+from skein.llm import attribution, decontaminate, languages, near_dup, oracles, packing, private, quality, secrets, token_store, topk
 from skein.llm.common import table
 from skein.llm.encoding import vocabulary
 
@@ -64,6 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op2_personal_data": oracles.PERSONAL_DATA,
+    "op7_benchmark_leaks": oracles.BENCHMARK_LEAKS,
+    "op8_secret_scan": oracles.secrets([(r.kind, r.full) for r in secrets.RULES], secrets.BASE),
     "op9_exact_top_k": """
         WITH code AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c

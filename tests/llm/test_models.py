@@ -4,7 +4,6 @@ import zlib
 import numpy as np
 
 from skein.llm import languages, quality, queries, topk
-from tests.compare import assert_same, connect
 
 FOX = {"en": "the quick brown fox jumps over the lazy dog and the other animals of the house", "de": "der schnelle braune fuchs springt über den faulen hund und die anderen tiere des hauses"}
 
@@ -86,10 +85,6 @@ def test_sliced_index_never_loses_a_top_row():
             assert (rows[np.lexsort((rows, -score[rows]))[:21]] == want).all()
 
 
-def test_top_k_equals_its_sql(spark, sf):
-    assert_same(queries.op9_exact_top_k(spark, sf), connect(sf).sql(queries.ORACLE_SQL["op9_exact_top_k"]))
-
-
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
