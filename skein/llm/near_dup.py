@@ -10,9 +10,10 @@ component with the weighted Jaccard similarity of the multisets.
 
 Signatures are cut into bands; documents that share bands are candidates and
 their multisets are compared exactly. Copies (equal word sequences) count once
-throughout. In a bucket every text is first compared with one pivot; only texts
-that remain in different components after that are compared with each other, so
-a large group of near copies costs about one comparison for each member.
+throughout. In a band every text is first compared with one pivot; only texts
+that remain in different components after that, and could still be similar
+enough, are compared with each other (see links), so a large group of near
+copies costs about one comparison for each member.
 
 Defined results: words are runs of letters, digits and underscores in lower
 case; a text of fewer than five words is one shingle; texts without words are
@@ -205,19 +206,74 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def pivot_pairs(bands: DataFrame) -> DataFrame:
+    """(a, b): every document of a band with the one that meets most others in
+    all its bands, so that the text which copies were made from comes first."""
+    degree = bands.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus")))
+    first = bands.join(degree, "doc_id").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.minus")).alias("pivot"))
+    pairs = bands.join(first, "band").where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b")
+
+
+def sizes(texts: DataFrame) -> DataFrame:
+    """doc_id, n, m: shingles of each text, and how many of them, at most, any
+    other of the texts can share: those whose hash is in another text too."""
+
+    def grams(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                bags = [bag(t) for t in part["text"].to_pylist()]
+                lengths = [len(x[0]) for x in bags]
+                columns = (np.repeat(part["doc_id"].to_numpy(), lengths), np.concatenate([x[0] for x in bags]).astype(np.uint32).view(np.int32), np.concatenate([x[1] for x in bags]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "h", "c"])
+
+    every = texts.mapInArrow(grams, "doc_id long, h int, c int")
+    once = every.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"), F.sum("c").alias("c"))
+    alone = F.when(F.col("doc_id") == F.col("other"), F.col("c")).otherwise(0)
+    unique = once.where(alone > 0).groupBy("doc_id").agg(F.sum("c").alias("u"))
+
+    def totals(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [max(1, len(word(t.lower())) - WORDS + 1) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64())], ["doc_id", "n"])
+
+    n = texts.mapInArrow(totals, "doc_id long, n long")
+    return n.join(unique, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+
+
+def mixed(rooted: DataFrame) -> DataFrame:
+    """The rows of bands that join documents of different components."""
+    bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    return rooted.join(bands, "band", "left_semi")
+
+
 def links(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between distinct texts that connect exactly the
-    documents which all links of at least the threshold connect."""
-    first = bands.groupBy("band").agg(F.min("doc_id").alias("a"))
-    pivots = bands.join(first, "band").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    pivots = staged(pivots.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b"), "pivots")
+    documents which all links of at least the threshold connect.
+
+    First every band's documents are compared with a pivot. What is left are
+    pairs of different components; of these, a pair is compared only if the
+    shingles that either shares with any other text would be enough for the
+    threshold: texts edited too much to link to anything drop out here, and with
+    them the square of the size of a group of loose copies."""
+    pivots = staged(pivot_pairs(bands), "pivots")
     strong = staged(compared(pivots, texts, threshold), "links")
-    roots = staged(components(strong), "roots")
+    roots = components(strong)
     rooted = bands.join(roots, bands["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rooted = staged(rooted.join(mixed, "band", "left_semi"), "mixed-bands")
-    other = rooted.withColumnsRenamed({"doc_id": "b", "root": "root_b"})
-    rest = rooted.withColumnsRenamed({"doc_id": "a", "root": "root_a"}).join(other, "band").where("a < b and root_a <> root_b")
+    rooted = staged(mixed(rooted), "mixed-bands")
+    left = texts.join(rooted.select("doc_id").distinct(), "doc_id", "left_semi")
+    able = staged(sizes(left).where(F.col("m") >= threshold * F.col("n")), "sizes")
+    rooted = staged(mixed(rooted.join(able, "doc_id")), "mixed-bands")
+    both = F.least("m", "m_b")
+    other = rooted.withColumnsRenamed({"doc_id": "b", "root": "root_b", "n": "n_b", "m": "m_b"})
+    rest = rooted.withColumnsRenamed({"doc_id": "a", "root": "root_a"}).join(other, "band")
+    rest = rest.where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (both >= threshold * (F.col("n") + F.col("n_b") - both)))
     rest = rest.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b").join(pivots, ["a", "b"], "left_anti")
     return strong.union(staged(compared(rest, texts, threshold), "links"))
 
@@ -230,9 +286,9 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     all_rows = staged(signed(docs), "signatures")
     named = all_rows.where("doc_id is not null")
     copies = staged(named.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "copies")
-    bands = copies.select(F.col("first").alias("doc_id"), F.explode("bands").alias("band")).distinct()
-    shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band")
-    bands = staged(bands.join(shared, "band", "left_semi"), "bands")
+    bands = copies.select(F.col("first").alias("doc_id"), F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    bands = staged(bands.join(shared, "band"), "bands")
     wanted = bands.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id")
     texts = documents(docs).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = staged(texts, "candidates")
