@@ -261,20 +261,23 @@ def links(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
     pairs of different components; of these, a pair is compared only if the
     shingles that either shares with any other text would be enough for the
     threshold: texts edited too much to link to anything drop out here, and with
-    them the square of the size of a group of loose copies."""
+    them the square of the size of a group of loose copies. Of the bands that a
+    pair shares, the first one brings it."""
     pivots = staged(pivot_pairs(bands), "pivots")
     strong = staged(compared(pivots, texts, threshold), "links")
     roots = components(strong)
     rooted = bands.join(roots, bands["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     rooted = staged(mixed(rooted), "mixed-bands")
     left = texts.join(rooted.select("doc_id").distinct(), "doc_id", "left_semi")
-    able = staged(sizes(left).where(F.col("m") >= threshold * F.col("n")), "sizes")
+    own = rooted.groupBy("doc_id").agg(F.collect_set("band").alias("bands"))
+    able = staged(sizes(left).where(F.col("m") >= threshold * F.col("n")).join(own, "doc_id"), "sizes")
     rooted = staged(mixed(rooted.join(able, "doc_id")), "mixed-bands")
     both = F.least("m", "m_b")
-    other = rooted.withColumnsRenamed({"doc_id": "b", "root": "root_b", "n": "n_b", "m": "m_b"})
+    common = F.array_intersect("bands", "bands_b")
+    other = rooted.withColumnsRenamed({"doc_id": "b", "root": "root_b", "n": "n_b", "m": "m_b", "bands": "bands_b"})
     rest = rooted.withColumnsRenamed({"doc_id": "a", "root": "root_a"}).join(other, "band")
     rest = rest.where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (both >= threshold * (F.col("n") + F.col("n_b") - both)))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b").join(pivots, ["a", "b"], "left_anti")
+    rest = rest.where((F.size(common) >= 2) & (F.array_min(common) == F.col("band"))).select("a", "b").distinct().join(pivots, ["a", "b"], "left_anti")
     return strong.union(staged(compared(rest, texts, threshold), "links"))
 
 
