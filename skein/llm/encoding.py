@@ -2,7 +2,7 @@
 
 A text is cut where the tokenizer's own splitting pattern always cuts, so that
 chunks encoded apart give exactly the ids of the whole text; a worker keeps the
-ids of the chunks it has met. Chunk rules, all sides of a cut being certain:
+ids of the chunks it has met lately. Chunk rules, all sides of a cut being certain:
 
 * a run of ASCII / Latin-1 letters, not followed by another non-ASCII character
   (which could be a letter or a combining mark);
@@ -38,7 +38,7 @@ SEPARATOR = "\x01"
 class Encoder:
     """ids(texts): little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,6 +54,7 @@ class Encoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.widths: np.ndarray | None = None
 
     def _ids(self, text: str) -> list[int]:
@@ -88,18 +89,25 @@ class Encoder:
     def _learn_one(self, chunk: str) -> None:
         self.known[chunk] = np.array(self._ids(chunk), "<u4").tobytes()
 
+    def _recall(self, new: set[str]) -> list[str]:
+        """Take over what the generation before knows, so that common chunks stay
+        and rare ones go; what is left has to be learned."""
+        self.known.update((c, self.older[c]) for c in new if c in self.older)
+        return [c for c in new if c not in self.older]
+
     def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
         cut = [self.chunks(t) for t in texts]
-        met: set[str] = set()
-        for c in cut:
-            met.update(c)
-        if len(self.known) + len(met) > self.limit:
-            self.known.clear()
-        new = met.difference(self.known)
+        found = [list(map(self.known.get, c)) for c in cut]
+        missing = [[i for i, raw in enumerate(f) if raw is None] for f in found]
+        new = self._recall({c[i] for c, at in zip(cut, missing) for i in at})
         if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            self._learn(new)
+        for c, f, at in zip(cut, found, missing):
+            for i in at:
+                f[i] = self.known[c[i]]
+        return list(map(b"".join, found))
 
     def token_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Character start and end of each id of each text, for byte-level
