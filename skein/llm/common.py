@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +47,34 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_holder: list[tuple[str, Callable[[], object]]] = []
+
+
+def hold(owner: str, clear: Callable[[], object]) -> None:
+    """Called in a Python worker before an operator fills its caches there. Spark
+    uses a worker again for later stages, so what another operator has kept in
+    it is cleared first and its memory given back."""
+    if _holder and _holder[0][0] != owner:
+        _holder[0][1]()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    _holder[:] = [(owner, clear)]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default of
+    10,000, which would hold hundreds of MB of them in the JVM and in Python at
+    once. A size that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "-1") == "-1":
+        spark.conf.set(key, str(rows))
+
+
 def documents(df: DataFrame) -> DataFrame:
     """(doc_id long, text string) of a document table; a null text is empty."""
-    ship(df.sparkSession)
+    small_batches(ship(df.sparkSession))
     return df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -14,10 +14,13 @@ ids of the chunks it has met lately. Chunk rules, all sides of a cut being certa
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
+from skein.llm.common import hold
+
 #: Unicode White_Space; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -133,7 +136,10 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file in a Python worker."""
+    """One encoder for each vocabulary file in a Python worker. A task has one
+    core, so the library's own threads, each with memory of its own, are off."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    hold("encoding", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, ship
+from skein.llm.common import documents, hold, ship, small_batches
 
 UNKNOWN = "und"
 LANE = 512
@@ -175,12 +175,12 @@ class Parser:
         return out
 
 
-@lru_cache(4)
+@lru_cache(1)
 def parser(learned: Sample) -> Parser:
     return Parser(learned)
 
 
-def pieces(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for i, t in enumerate(texts):
         if i > lo and total + len(t) > most_chars:
@@ -199,6 +199,7 @@ def predict(docs: DataFrame, learned: Sample) -> DataFrame:
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        hold("languages", parser.cache_clear)
         known = parser(learned)
         for batch in batches:
             texts = batch["text"].to_pylist()
@@ -226,11 +227,12 @@ def recognised(docs: DataFrame) -> DataFrame:
     """The rows and columns of documents whose text has a known language: those
     that predict() does not call UNKNOWN. The model is learned from the table
     itself; held-out rows play no part in it."""
-    ship(docs.sparkSession)
+    small_batches(ship(docs.sparkSession))
     learned = sample(docs.where(~held_out()))
 
     @F.pandas_udf("string")
     def language(column: pd.Series) -> pd.Series:
+        hold("languages", parser.cache_clear)
         known, texts = parser(learned), column.fillna("").tolist()
         return pd.Series([p[0] for lo, hi in pieces(texts) for p in known.predict(texts[lo:hi])], index=column.index, dtype=object)
 

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, ship, staged
+from skein.llm.common import documents, hold, ship, staged
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -49,12 +49,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for words that were met."""
+    """64-bit hash of each word, kept for words that were met lately."""
 
     def __missing__(self, w: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
         return h
@@ -129,6 +129,7 @@ def signed(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        hold("near_dup", forget)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -149,7 +150,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(sign, SIGNED)
 
 
-@lru_cache(4096)
+@lru_cache(1024)
 def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Shingles of a text, their counts and the sum of these. A text is in many
     pairs of its group, so a worker keeps the latest."""
@@ -157,6 +158,11 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return hashes, counts.astype(np.int32), int(counts.sum())
 
 
+def forget() -> None:
+    _HASHES.clear()
+    bag.cache_clear()
+
+
 def reaches(a: tuple, b: tuple, threshold: float) -> bool:
     """Whether the weighted Jaccard similarity of two bags is high enough."""
     if min(a[2], b[2]) < threshold * max(a[2], b[2]):
@@ -173,6 +179,7 @@ def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        hold("near_dup", forget)
         for batch in batches:
             good = [reaches(bag(x), bag(y), threshold) for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import automaton
-from skein.llm.common import documents
+from skein.llm.common import documents, hold
 
 VALUE = "[A-Za-z0-9+/_.=-]"
 
@@ -78,6 +78,7 @@ def spans_of(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not texts:
         return out
+    hold("secrets", combined.cache_clear)
     masks = automaton.scan(combined(), [t.encode("utf-8", "surrogatepass") for t in texts])
     for i in masks.nonzero()[0].tolist():
         for n, (rule, full) in enumerate(zip(RULES, expressions())):
@@ -87,7 +88,7 @@ def spans_of(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def parts(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def parts(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of bounded total length, for bounded memory."""
     lo = total = 0
     for i, t in enumerate(texts):
