@@ -1,10 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Only DataFrame and SQL functions are used. Words are runs of letters and digits
-in lower case. A window that reaches the threshold shares a shingle with the
-item, so windows of the item's size are laid where a document's shingle is also
-an item's, and one word to either side. Each gets a 64-bit SimHash of its
-words; fingerprints are cut into one block more than the radius, so that any two
+in lower case. Windows of the item's size are laid at every start where enough of
+the document's shingles are also the item's for the threshold; no other window
+reaches it. Each gets a 64-bit SimHash of its words; fingerprints are cut into one block more than the radius, so that any two
 within the radius agree in a block, and windows meet their items on equal
 blocks. What lies within the radius is verified: the weighted Jaccard similarity
 of the two multisets of shingles must reach the threshold.
@@ -66,16 +65,27 @@ def items(benchmark: DataFrame) -> DataFrame:
     return found.withColumns({"n": F.size("words"), "size": F.least(F.lit(SHINGLE), F.size("words")), "fingerprint": simhash("words")})
 
 
-def windows(docs: DataFrame, bench: DataFrame, size: int) -> DataFrame:
-    """(doc_id, item_id, n, start): where a window of the item's size may hold
-    the item; the start is not yet cut to the document."""
-    shingle = bench.where(F.col("size") == size).select("item_id", "n", F.posexplode(hashes("words", size)).alias("q", "h"))
+def windows(docs: DataFrame, bench: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(doc_id, row, item_id, start) of every window in which so many shingles are
+    the item's that it may reach the threshold; equal texts share a row.
+
+    A window of m shingles shares at most as many with the item as it has places
+    whose shingle is the item's. Of the `need` places that it must have, the
+    first is hit k and the last hit k + need - 1, so its start lies after hit
+    k - 1, not after hit k, and at most m - 1 before hit k + need - 1."""
+    shingle = bench.where(F.col("size") == size).select("item_id", "n", F.explode(F.array_distinct(hashes("words", size))).alias("h"))
     shingle = staged(shingle, "item-shingles")
-    texts = documents(docs).where("doc_id is not null").select("doc_id", words(F.col("text")).alias("words"))
-    at = texts.select("doc_id", F.posexplode(hashes("words", size)).alias("p", "h"))
+    texts = documents(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("words"))
+    at = texts.select("doc_id", "row", F.size("words").alias("length"), F.posexplode(hashes("words", size)).alias("p", "h"))
     at = at.join(sized(shingle.select("h").distinct()), "h", "left_semi")
-    near = F.explode(F.array(*(F.col("p") - F.col("q") + d for d in (-1, 0, 1))))
-    return at.join(sized(shingle), "h").select("doc_id", "item_id", "n", near.alias("start")).distinct()
+    hits = at.join(sized(shingle), "h").groupBy("doc_id", "row", "item_id", "n", "length").agg(F.sort_array(F.collect_set("p")).alias("hits"))
+    hits = hits.withColumn("m", F.least("n", "length") - (size - 1))
+    need = F.ceil(threshold * (F.col("m") + F.col("n") - (size - 1)) / (1 + threshold) - 1e-9)
+    hits = hits.withColumn("need", F.greatest(F.lit(1), need.cast("int"))).where(F.size("hits") >= F.col("need"))
+    first = hits.select("*", F.posexplode("hits").alias("k", "p")).where(F.col("k") + F.col("need") <= F.size("hits"))
+    low = F.expr("greatest(0, if(k > 0, get(hits, k - 1) + 1, 0), get(hits, k + need - 1) - m + 1)")
+    first = first.withColumns({"low": low, "high": F.least("p", F.col("length") - F.least("n", "length"))}).where("low <= high")
+    return first.select("doc_id", "row", "item_id", "n", F.explode(F.sequence("low", "high")).alias("start"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -86,10 +96,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     bench = staged(items(benchmark), "items")
     found = None
     for size in sorted(r["size"] for r in bench.select("size").distinct().collect()):
-        laid = staged(windows(docs, bench, size), "windows")
-        texts = documents(docs).join(sized(laid.select("doc_id").distinct()), "doc_id", "left_semi")
-        texts = staged(texts.select("doc_id", words(F.col("text")).alias("words")), "window-texts")
-        cut = texts.join(laid, "doc_id").withColumn("start", F.greatest(F.lit(0), F.least(F.col("start"), F.size("words") - F.col("n"))))
+        laid = staged(windows(docs, bench, size, threshold), "windows")
+        texts = documents(docs).withColumn("row", F.xxhash64("text")).join(sized(laid.select("doc_id", "row").distinct()), ["doc_id", "row"], "left_semi")
+        texts = staged(texts.select("doc_id", "row", words(F.col("text")).alias("words")), "window-texts")
+        cut = texts.join(laid, ["doc_id", "row"])
         cut = cut.select("doc_id", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).distinct()
         marked = cut.withColumn("fingerprint", simhash("words"))
         met = marked.select("*", F.explode(blocks(F.col("fingerprint"))).alias("k")).select("*", "k.block", "k.bits")

@@ -138,6 +138,44 @@ def test_leaks_equal_brute_force(spark, make):
     assert {r["doc_id"] for r in clean.collect()} == {k for k, _ in docs} - {d for d, _ in got}
 
 
+def best_windows(docs, items):
+    """As brute_leaks, for items of five words or more; of windows that are equal
+    before rounding the first counts."""
+    grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+    found = {}
+    for item, w in ((k, words(t)) for k, t in items):
+        for doc, v in ((k, words(t)) for k, t in docs):
+            if set(w) & set(v):
+                s, start = max((similarity(grams(v[i : i + len(w)]), grams(w)), -i) for i in range(max(1, len(v) - len(w) + 1)))
+                if s >= 0.8:
+                    found[doc, item] = (round(s, 9), -start)
+    return found
+
+
+def edited(words, ends, inserted, deleted, draw):
+    """Words replaced at both ends, and some put in or taken out in the middle."""
+    half = len(words) // 2
+    return draw(ends) + words[ends:half] + draw(inserted) + words[half + deleted : len(words) - ends] + draw(ends)
+
+
+def test_leaks_between_the_diagonals_of_a_passage(spark, make):
+    rnd = random.Random(7)
+    fresh = iter(range(10**6))
+    draw = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    items = [(i, draw(n)) for i, n in enumerate([80, 100, 120, 160, 200])]
+    docs = [draw(30) + edited(items[0][1], 2, 4, 0, draw) + draw(30), draw(30) + edited(items[1][1], 3, 6, 0, draw) + draw(30)]
+    for _ in range(30):
+        w = rnd.choice(items)[1]
+        docs.append(draw(rnd.randint(0, 30)) + edited(w, rnd.randint(0, 3), rnd.choice([0, 3, 6]), rnd.choice([0, 3, 6]), draw) + draw(rnd.randint(0, 30)))
+    docs = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    items = [(k, " ".join(w)) for k, w in items]
+    want = best_windows(docs, items)
+    assert {(0, 0), (1, 1)} <= set(want)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start"]) for r in decontaminate.leaks(make(docs), bench).collect()}
+    assert got == want
+
+
 def test_leaks_of_empty_tables(spark, make):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(make([(1, "a b c d e f")]), nothing).count() == 0
