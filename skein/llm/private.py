@@ -9,6 +9,10 @@ information is what the term discloses; it is 1 for a term that occurs with the
 entity alone. Terms from `removed` on are removed, from `generalised` on they
 are generalised. All counts are of documents, over all documents.
 
+A term is near an entity if both are in one document; with a `reach`, only if it
+lies within so many code points of the entity's span, which counts and reports
+fewer terms. The SQL of op2_personal_data states a reach of 60.
+
 Offsets come from the text between matches: what an expression splits a text
 into and what it matches alternate, and their lengths in code points add up.
 
@@ -20,7 +24,7 @@ and text do not matter. Spans count code points, the end is exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import documents, staged
@@ -94,12 +98,15 @@ def context(reach: int) -> Column:
     )
 
 
-def mentions(docs: DataFrame, reach: int) -> DataFrame:
-    """doc_id, row (a hash that equal rows share), base, near."""
+def mentions(docs: DataFrame, reach: int | None) -> DataFrame:
+    """doc_id, row (a hash that equal rows share), base, near. Without a reach,
+    near has every term of a text with entities and the length of the gap before."""
     found = documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     found = found.select("doc_id", "row", "text", *(base(k).alias(k) for k in PATTERNS))
     found = found.select("doc_id", "row", "text", F.concat(*PATTERNS).alias("base"))
-    near = F.when(F.size("base") > 0, context(reach)).otherwise(F.array())
+    p = quoted(TERM)
+    every = F.expr(f"slice(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (gap, term) -> struct(length(gap) as gap, term as term)), 1, size(regexp_extract_all(text, {p}, 0)))")
+    near = F.when(F.size("base") > 0, every if reach is None else context(reach)).otherwise(F.array())
     return found.withColumn("near", near).drop("text")
 
 
@@ -109,14 +116,30 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return documents(docs).select(F.explode(words).alias("term")).join(sized(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, min_docs: int, generalised: float) -> DataFrame:
-    """kind, entity, term, share for the terms that disclose at least as much."""
+def located_terms(found: DataFrame) -> DataFrame:
+    """row, term, start, stop of all terms of texts with entities, outside all
+    base spans; equal rows once."""
+    texts = found.where(F.size("base") > 0).select("row", "base", "near").dropDuplicates(["row"])
+    each = texts.select("row", "base", F.posexplode("near").alias("place", "t")).select("row", "base", "place", "t.gap", "t.term")
+    size = F.length("term")
+    stop = F.sum(F.col("gap") + size).over(Window.partitionBy("row").orderBy("place")).cast("int")
+    each = each.withColumn("stop", stop).withColumn("start", F.col("stop") - size)
+    return each.where("not exists(base, b -> b.start < stop and b.stop > start)").select("row", F.lower("term").alias("term"), "start", "stop")
+
+
+def holders(found: DataFrame) -> DataFrame:
+    """row, kind, entity: the distinct entities of every document."""
+    each = F.array_distinct(F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("entity"))))
+    return found.select("row", F.explode(each).alias("e")).select("row", "e.kind", "e.entity")
+
+
+def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame, min_docs: int, generalised: float) -> DataFrame:
+    """kind, entity, term, share for the terms that disclose at least as much;
+    pairs: kind, entity, term once for each document that has them together."""
     total = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"].alias("kind"), t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p"))
-    together = pairs.groupBy("p.kind", "p.entity", "p.term").agg(F.count("*").alias("co")).where(F.col("co") >= min_docs)
+    together = pairs.groupBy("kind", "entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= min_docs)
     together = staged(together, "co-occurrence")
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("entity"))))).alias("e"))
-    entities = entities.groupBy("e.kind", "e.entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_docs)
+    entities = holders(found).groupBy("kind", "entity").agg(F.count("*").alias("de")).where(F.col("de") >= min_docs)
     counts = document_counts(docs, together.select("term").distinct())
     n = F.lit(float(total))
     share = F.log2(n * F.col("co") / (F.col("df") * F.col("de"))) / F.log2(n / F.col("de"))
@@ -124,13 +147,23 @@ def disclosing(docs: DataFrame, found: DataFrame, min_docs: int, generalised: fl
     return joined.select("kind", "entity", "term", share.alias("share")).where(F.col("share") >= generalised)
 
 
-def spans(docs: DataFrame, reach: int = 60, min_docs: int = 2, generalised: float = 0.75, removed: float = 0.95) -> DataFrame:
+def spans(docs: DataFrame, reach: int | None = None, min_docs: int = 2, generalised: float = 0.75, removed: float = 0.95) -> DataFrame:
     """doc_id, row, base, terms: all spans of every document; terms are
     (start, stop, removed)."""
     found = staged(mentions(docs, reach), "mentions")
-    known = disclosing(docs, found, min_docs, generalised)
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("t")).select("row", "t.*").distinct()
-    near = near.join(known, ["kind", "entity", "term"]).groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
+    if reach is None:
+        near, held = staged(located_terms(found), "terms"), holders(found)
+        often = held.groupBy("kind", "entity").count().where(F.col("count") >= min_docs).select("kind", "entity")
+        held = staged(held.join(often, ["kind", "entity"], "left_semi"), "entities")
+        pairs = held.join(near.select("row", "term").distinct(), "row").select("kind", "entity", "term")
+        known = disclosing(docs, found, pairs, min_docs, generalised)
+        told = held.distinct().join(known, ["kind", "entity"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+        near = near.join(told, ["row", "term"]).select("row", "start", "stop", "share")
+    else:
+        each = F.array_distinct(F.transform("near", lambda t: F.struct(t["kind"].alias("kind"), t["entity"].alias("entity"), t["term"].alias("term"))))
+        known = disclosing(docs, found, found.select(F.explode(each).alias("p")).select("p.*"), min_docs, generalised)
+        near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("t")).select("row", "t.*").distinct()
+        near = near.join(known, ["kind", "entity", "term"]).groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
     term = F.struct("start", "stop", (F.col("share") >= removed).alias("removed"))
     terms = near.groupBy("row").agg(F.sort_array(F.collect_list(term)).alias("terms"))
     nothing = F.expr("cast(array() as array<struct<start: int, stop: int, removed: boolean>>)")

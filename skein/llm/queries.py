@@ -16,7 +16,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.find(table(spark, sf_dir, "documents"))
+    return private.find(table(spark, sf_dir, "documents"), reach=60)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

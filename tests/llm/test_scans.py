@@ -81,5 +81,16 @@ def test_terms_that_give_an_entity_away(make):
     assert "ann@" not in clean[0] and "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[-1][1]
 
 
+def test_terms_far_from_an_entity_in_the_same_document(make):
+    filler = "the weather today was the letter of somebody " * 8
+    text = f"Zanzibar {filler} éééann@site.org wrote {filler} zanzibar"
+    rows = [(i, text) for i in (0, 1, 2, 0)] + [(100 + i, filler) for i in range(60)]
+    for r in private.find(make(rows)).collect():
+        named = [text[int(a) : int(b)] for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s) if kind in ("term", "context")]
+        assert named == (["Zanzibar", "wrote", "zanzibar"] if r["doc_id"] < 3 else [])
+    clean = {r["doc_id"]: r["text"] for r in private.sanitised(make(rows)).collect()}
+    assert "anzibar" not in clean[0] and clean[100] == filler
+
+
 def test_personal_data_of_an_empty_table(make):
     assert private.find(make([(1, "a")]).where("false")).count() == 0
