@@ -1,12 +1,10 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by exact counts over item-sized windows.
 
 Only DataFrame and SQL functions are used. Words are runs of letters and digits
 in lower case. Windows of the item's size are laid at every start where enough of
 the document's shingles are also the item's for the threshold; no other window
-reaches it. Each gets a 64-bit SimHash of its words; fingerprints are cut into one block more than the radius, so that any two
-within the radius agree in a block, and windows meet their items on equal
-blocks. What lies within the radius is verified: the weighted Jaccard similarity
-of the two multisets of shingles must reach the threshold.
+reaches it. Each is verified: the weighted Jaccard similarity of the two
+multisets of shingles must reach the threshold. No fingerprint decides.
 
 Defined results: an item of fewer than five words has one shingle, itself; an
 item without words, or with a null id, is not searched; a document shorter than
@@ -24,7 +22,6 @@ from pyspark.sql import functions as F
 from skein.llm.common import documents, staged
 
 SHINGLE = 5
-RADIUS = 19
 #: Rows up to which a side is broadcast; beyond, Spark joins by shuffling.
 SMALL = 200_000
 
@@ -39,74 +36,49 @@ def hashes(array: str, size: int) -> Column:
     return F.expr(f"if(size({array}) < {size}, array(), transform(sequence(0, size({array}) - {size}), i -> xxhash64({parts})))")
 
 
-def simhash(array: str) -> Column:
-    """64-bit SimHash of the words of an array column, each occurrence counting."""
-    return F.expr(
-        f"""aggregate(transform({array}, w -> xxhash64(w)), array_repeat(0, 64),
-            (sums, h) -> zip_with(sums, sequence(0, 63), (s, b) -> s + cast(shiftright(h, b) & 1L as int)),
-            sums -> aggregate(sequence(0, 63), 0L, (v, b) -> v | if(2 * get(sums, b) > size({array}), shiftleft(1L, b), 0L)))"""
-    )
-
-
-def blocks(fingerprint: Column) -> Column:
-    """(block number, bits) of RADIUS + 1 blocks that cover the 64 bits."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND((1 << (b - a)) - 1).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-
-
 def sized(df: DataFrame, limit: int = SMALL) -> DataFrame:
     """df with a broadcast hint if it has few rows; df must be cheap to count."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, n, size (words to a shingle), fingerprint."""
+    """item_id, words, n, size (words to a shingle)."""
     found = benchmark.where("item_id is not null").select("item_id", words(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
-    return found.withColumns({"n": F.size("words"), "size": F.least(F.lit(SHINGLE), F.size("words")), "fingerprint": simhash("words")})
+    return found.withColumns({"n": F.size("words"), "size": F.least(F.lit(SHINGLE), F.size("words"))})
 
 
 def windows(docs: DataFrame, bench: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(doc_id, row, item_id, start) of every window in which so many shingles are
-    the item's that it may reach the threshold; equal texts share a row.
+    """doc_id, row, item_id, n, m, start, inside (places, hashes and their counts in
+    the item) of every window in which so many shingles are the item's that it may
+    reach the threshold; equal texts share a row.
 
     A window of m shingles shares at most as many with the item as it has places
     whose shingle is the item's. Of the `need` places that it must have, the
     first is hit k and the last hit k + need - 1, so its start lies after hit
     k - 1, not after hit k, and at most m - 1 before hit k + need - 1."""
-    shingle = bench.where(F.col("size") == size).select("item_id", "n", F.explode(F.array_distinct(hashes("words", size))).alias("h"))
+    shingle = bench.where(F.col("size") == size).select("item_id", "n", F.explode(hashes("words", size)).alias("h")).groupBy("item_id", "n", "h").agg(F.count("*").alias("d"))
     shingle = staged(shingle, "item-shingles")
     texts = documents(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("words"))
     at = texts.select("doc_id", "row", F.size("words").alias("length"), F.posexplode(hashes("words", size)).alias("p", "h"))
     at = at.join(sized(shingle.select("h").distinct()), "h", "left_semi")
-    hits = at.join(sized(shingle), "h").groupBy("doc_id", "row", "item_id", "n", "length").agg(F.sort_array(F.collect_set("p")).alias("hits"))
+    hits = at.join(sized(shingle), "h").groupBy("doc_id", "row", "item_id", "n", "length").agg(F.sort_array(F.collect_set(F.struct("p", "h", "d"))).alias("hits"))
     hits = hits.withColumn("m", F.least("n", "length") - (size - 1))
     need = F.ceil(threshold * (F.col("m") + F.col("n") - (size - 1)) / (1 + threshold) - 1e-9)
     hits = hits.withColumn("need", F.greatest(F.lit(1), need.cast("int"))).where(F.size("hits") >= F.col("need"))
-    first = hits.select("*", F.posexplode("hits").alias("k", "p")).where(F.col("k") + F.col("need") <= F.size("hits"))
-    low = F.expr("greatest(0, if(k > 0, get(hits, k - 1) + 1, 0), get(hits, k + need - 1) - m + 1)")
+    first = hits.select("*", F.posexplode("hits.p").alias("k", "p")).where(F.col("k") + F.col("need") <= F.size("hits"))
+    low = F.expr("greatest(0, if(k > 0, get(hits, k - 1).p + 1, 0), get(hits, k + need - 1).p - m + 1)")
     first = first.withColumns({"low": low, "high": F.least("p", F.col("length") - F.least("n", "length"))}).where("low <= high")
-    return first.select("doc_id", "row", "item_id", "n", F.explode(F.sequence("low", "high")).alias("start"))
+    laid = first.select("doc_id", "row", "item_id", "n", "m", F.explode(F.sequence("low", "high")).alias("start"), F.expr("slice(hits, k + 1, m)").alias("inside"))
+    return laid.withColumn("inside", F.expr("filter(inside, x -> x.p < start + m)"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, start (word, from 0), similarity of every item that a
     document holds, at its most similar window."""
-    if radius > RADIUS:
-        raise ValueError(f"the blocks guarantee a radius of {RADIUS}")
     bench = staged(items(benchmark), "items")
     found = None
     for size in sorted(r["size"] for r in bench.select("size").distinct().collect()):
-        laid = staged(windows(docs, bench, size, threshold), "windows")
-        texts = documents(docs).withColumn("row", F.xxhash64("text")).join(sized(laid.select("doc_id", "row").distinct()), ["doc_id", "row"], "left_semi")
-        texts = staged(texts.select("doc_id", "row", words(F.col("text")).alias("words")), "window-texts")
-        cut = texts.join(laid, ["doc_id", "row"])
-        cut = cut.select("doc_id", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words")).distinct()
-        marked = cut.withColumn("fingerprint", simhash("words"))
-        met = marked.select("*", F.explode(blocks(F.col("fingerprint"))).alias("k")).select("*", "k.block", "k.bits")
-        known = bench.where(F.col("size") == size).select("item_id", F.col("fingerprint").alias("own"), F.explode(blocks(F.col("fingerprint"))).alias("k")).select("item_id", "own", "k.block", "k.bits")
-        met = met.join(known, ["item_id", "block", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("own"))) <= radius)
-        met = met.select("doc_id", "item_id", "start", "words").distinct()
-        good = similar(met, bench.where(F.col("size") == size), size, threshold)
+        good = similar(windows(docs, bench, size, threshold), size, threshold)
         found = good if found is None else found.union(good)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, similarity double")
@@ -114,14 +86,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", F.col("item_id").cast("long").alias("item_id"), F.col("best.start").cast("int").alias("start"), "best.similarity")
 
 
-def similar(met: DataFrame, bench: DataFrame, size: int, threshold: float) -> DataFrame:
-    """doc_id, item_id, start, similarity of the candidates that reach it."""
-    own = met.select("doc_id", "item_id", "start", F.greatest(F.size("words") - (size - 1), F.lit(0)).alias("m"), F.explode(hashes("words", size)).alias("h"))
-    own = own.groupBy("doc_id", "item_id", "start", "m", "h").agg(F.count("*").alias("c"))
-    item = bench.select("item_id", (F.col("n") - (size - 1)).alias("n"), F.explode(hashes("words", size)).alias("h"))
-    item = item.groupBy("item_id", "n", "h").agg(F.count("*").alias("d"))
-    both = own.join(item, ["item_id", "h"]).groupBy("doc_id", "item_id", "start", "m", "n").agg(F.sum(F.least("c", "d")).alias("both"))
-    return both.select("doc_id", "item_id", "start", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar(laid: DataFrame, size: int, threshold: float) -> DataFrame:
+    """doc_id, item_id, start, similarity of the windows that reach it."""
+    window = ["doc_id", "row", "item_id", "start", "m", "n"]
+    own = laid.select(*window, F.explode("inside").alias("x")).groupBy(*window, "x.h").agg(F.least(F.count("*"), F.first("x.d")).alias("both"))
+    both = own.groupBy(*window).agg(F.sum("both").alias("both"))
+    return both.select("doc_id", "item_id", "start", (F.col("both") / (F.col("m") + F.col("n") - (size - 1) - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
