@@ -103,8 +103,10 @@ def fit(rows: list[tuple[str, int]], size: int = 8, epochs: int = 8, rate: float
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = 4000) -> Model:
     """Fit on at most most_rows labelled documents, the first by a hash of the
-    id; the bound holds however many labels there are."""
+    id; the bound holds however many labels there are. Labels of absent documents
+    use up none of it."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(column) > 0).cast("int").alias("y"))
+    known = known.join(documents(docs).select("doc_id"), "doc_id", "left_semi")
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     found = documents(docs).join(F.broadcast(chosen), "doc_id").collect()
     rows = [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]

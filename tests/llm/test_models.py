@@ -64,6 +64,14 @@ def test_quality_of_odd_rows(spark, make):
     assert quality.classify(docs.where("false"), labels).count() == 0
 
 
+def test_labels_of_absent_documents_use_up_no_rows(spark, make):
+    docs = make([(k, "good fine words" if k % 2 else "bad poor junk") for k in range(20)])
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    model = quality.train(docs, labels, most_rows=20)
+    want = quality.fit([("good fine words" if k % 2 else "bad poor junk", k % 2) for k in range(20)])
+    assert model.bias == want.bias and np.array_equal(model.share, want.share)
+
+
 def test_word_shares_give_the_score_of_the_average():
     model = quality.fit([("good text here", 1), ("bad *** text", 0)] * 5, epochs=3)
     buckets, weight = quality.bag("good text here here")
