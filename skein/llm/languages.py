@@ -38,9 +38,9 @@ Sample = tuple[tuple[str, str], ...]
 def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, most_languages: int = 256) -> Sample:
     """(language, text) in order of language. Whole documents in order of a hash
     of their ids, up to most_docs for a language, until the text has `chars`
-    characters. This is the bounded sample that the model is fitted on; with
+    characters; texts without a letter do not count. This is the bounded sample that the model is fitted on; with
     more languages than most_languages, the most frequent are learned."""
-    rows = labelled.where("text is not null and lang is not null and doc_id is not null")
+    rows = labelled.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
     known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = rows.select("lang", "doc_id").withColumn("n", order).where(F.col("n") <= most_docs)

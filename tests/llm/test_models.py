@@ -41,6 +41,11 @@ def test_languages_of_odd_rows(spark):
     assert languages.identify(docs.where("false")).count() == 0
 
 
+def test_a_language_is_learned_from_its_texts_with_letters(spark):
+    docs = spark.createDataFrame([(i, "123 ...", "en") for i in range(50)] + [(50, FOX["en"], "en"), (51, FOX["de"], "de")], "doc_id long, text string, lang string")
+    assert languages.sample(docs, most_docs=1) == (("de", FOX["de"]), ("en", FOX["en"]))
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
