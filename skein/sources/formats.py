@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under the checkpoint
-    folder where the cluster names one, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="skein-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from skein.sources.shared import new_dir
 
 
 def round_trip(df: DataFrame, kind: str, **options: str) -> DataFrame:
     """Write and read with an explicit schema, so that types survive."""
-    path = scratch(df.sparkSession, kind)
+    path = new_dir(df.sparkSession, kind)
     df.write.format(kind).options(**options).save(path)
     return df.sparkSession.read.format(kind).options(**options).schema(df.schema).load(path)
 
 
 def partitioned(df: DataFrame, by: list[str]) -> DataFrame:
     """Write one folder for each value of `by`, rows of a value together."""
-    path = scratch(df.sparkSession, "partitioned")
+    path = new_dir(df.sparkSession, "partitioned")
     df.repartition(*by).write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.operators.windows import tumbling
 from skein.session import ship
-from skein.sources.formats import scratch
+from skein.sources.shared import new_dir
 from skein.sources.tables import table
 
 
@@ -29,8 +29,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, with a checkpoint, into a folder."""
     spark = stream.sparkSession
-    out = scratch(spark, "stream")
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", scratch(spark, "stream-checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
+    out = new_dir(spark, "stream")
+    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", new_dir(spark, "stream-checkpoint")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -59,12 +59,12 @@ def running_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = event_stream(spark, sf_dir).select("user_id", "value")
     kept = rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, largest double", "n long, largest double", "update", GroupStateTimeout.NoTimeout)
-    out = scratch(spark, "running-users")
+    out = new_dir(spark, "running-users")
 
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
-    kept.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", scratch(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    kept.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", new_dir(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("user_id long, n long, largest double, batch int").parquet(out)
     return rows.groupBy("user_id").agg(F.max_by("n", "batch").alias("n"), F.max_by("largest", "batch").alias("largest"))
 
