@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, ship
+from skein.llm.common import documents, ship, slices
 from skein.llm.encoding import encoder
 
 COUNTED = "doc_id long, section int, start long, stop long, n_tokens long, n_crossing long"
@@ -53,11 +53,11 @@ def _counted(batches: Iterator, tokenizer: str, sections_of) -> Iterator:
 
     enc = encoder(tokenizer)
     for batch in batches:
-        names, columns = batch.schema.names, batch.columns
-        for lo in range(0, batch.num_rows, 256):
+        names = batch.schema.names
+        for piece in slices(batch):
             rows: list[list[np.ndarray]] = []
             keys: list[int | None] = []
-            part = [c.slice(lo, 256).to_pylist() for c in columns]
+            part = [c.to_pylist() for c in piece.columns]
             spans = enc.token_spans(part[names.index("text")])
             for (starts, stops), *row in zip(spans, *part):
                 row = dict(zip(names, row))

@@ -1,50 +1,46 @@
-"""Shared folder, staged tables and column checks used by the operators here."""
+"""Staged tables, batches of bounded size and column checks used here."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.session import ship
+from skein.sources.shared import dropped, new_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: short lineage, and no
+    recomputation when it is used more than once or an executor is lost."""
+    return written(df, new_dir(df.sparkSession, name))
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a single machine) is a temporary folder made and set.
-    """
-    ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    ship(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
 
+class Stages:
+    """Staged tables under one folder, which goes when the work is done: for
+    tables that the returned plan does not read."""
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: short lineage, and no
-    recomputation when it is used more than once or an executor is lost."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, new_dir(spark, name), 0
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return written(df, f"{self.root}/{self.count:03d}-{name}")
 
+    def __enter__(self) -> Stages:
+        return self
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    def __exit__(self, *error) -> None:
+        dropped(self.spark, self.root)
 
 
 _holder: list[tuple[str, Callable[[], object]]] = []
@@ -63,18 +59,30 @@ def hold(owner: str, clear: Callable[[], object]) -> None:
     _holder[:] = [(owner, clear)]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of fewer rows than Spark's default of
-    10,000, which would hold hundreds of MB of them in the JVM and in Python at
-    once. A size that the session sets stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "-1") == "-1":
-        spark.conf.set(key, str(rows))
+def ranges(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded total size; a larger row is a range by itself."""
+    lo = total = 0
+    for i, size in enumerate(sizes):
+        if i > lo and total + size > most:
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def slices(batch, column: str = "text", most: int = 2_000_000) -> Iterator:
+    """Slices of an Arrow batch whose texts have a bounded number of bytes, so
+    that what Python makes of them is bounded however long the texts are."""
+    import pyarrow.compute as pc
+
+    for lo, hi in ranges(pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist(), most):
+        yield batch.slice(lo, hi - lo)
 
 
 def documents(df: DataFrame) -> DataFrame:
     """(doc_id long, text string) of a document table; a null text is empty."""
-    small_batches(ship(df.sparkSession))
+    ship(df.sparkSession)
     return df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

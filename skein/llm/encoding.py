@@ -10,6 +10,9 @@ ids of the chunks it has met lately. Chunk rules, all sides of a cut being certa
   an ASCII letter, a digit, a space, a line end or the end of the text;
 * a run of ASCII digits followed by an ASCII character or the end;
 * otherwise everything up to the next white space.
+
+Texts are first cut at the added tokens of the vocabulary (such as its end of
+text), which the library takes out of a text before anything else; each is one id.
 """
 
 from __future__ import annotations
@@ -45,7 +48,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        plain = [t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()]
+        if any(plain):
+            raise ValueError(f"{path}: added tokens that are not matched as they stand")
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.keeps_space = bool(self._ids(" "))
         self.chunks = (BYTES if self.keeps_space else WORDS).findall
         self.glue = "\n" if self.keeps_space else f" {SEPARATOR} "
@@ -99,6 +107,19 @@ class Encoder:
         return [c for c in new if c not in self.older]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Texts with added tokens are encoded in segments."""
+        mixed = [i for i, t in enumerate(texts) if any(map(t.__contains__, self.added))]
+        if not mixed:
+            return self._plain_ids(texts)
+        segments = {i: self.cut_added(texts[i]) for i in mixed}
+        plain = [t for i, t in enumerate(texts) if i not in segments] + [s for cut in segments.values() for s in cut[::2]]
+        found = iter(self._plain_ids(plain))
+        out = [b"" if i in segments else next(found) for i in range(len(texts))]
+        for i, cut in segments.items():
+            out[i] = b"".join(self.added[s] if n % 2 else next(found) for n, s in enumerate(cut))
+        return out
+
+    def _plain_ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         cut = [self.chunks(t) for t in texts]

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, hold, ship, staged
+from skein.llm.common import documents, hold, ship, slices, staged
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -131,8 +131,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
         hold("near_dup", forget)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch):
                 copies, hashes, weights = [], [], []
                 for text in part["text"].to_pylist():
                     words = word(text.lower())
@@ -231,8 +230,7 @@ def sizes(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch):
                 bags = [bag(t) for t in part["text"].to_pylist()]
                 lengths = [len(x[0]) for x in bags]
                 columns = (np.repeat(part["doc_id"].to_numpy(), lengths), np.concatenate([x[0] for x in bags]).astype(np.uint32).view(np.int32), np.concatenate([x[1] for x in bags]))

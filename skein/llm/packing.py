@@ -19,10 +19,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, staged
+from skein.llm.common import documents, slices, staged
 from skein.llm.encoding import encoder
 
 END = (0).to_bytes(4, "little")
@@ -37,8 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
 
         enc, step = encoder(tokenizer), 4 * capacity
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch):
                 rows = [
                     (key, i // step, i // 4, min(step, len(raw) - i) // 4, zlib.crc32(raw[i : i + step]))
                     for key, raw in zip(part["doc_id"].to_pylist(), (r + END for r in enc.ids(part["text"].to_pylist())))
@@ -166,7 +165,3 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
             )
 
     return ranked(cut, histogram).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
-
-
-def packed(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
-    return pack(docs, tokenizer)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, ship
+from skein.llm.common import documents, hold, ship, slices
 from skein.llm.languages import held_out
 
 BUCKETS = 1 << 16
@@ -125,12 +125,12 @@ def score(docs: DataFrame, model: Model, limit: int = 1_000_000) -> DataFrame:
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        hold("quality", _KNOWN.clear)
         if name not in _KNOWN:
             _KNOWN.clear()
         known, own = _KNOWN.setdefault(name, {}), Model(*shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch):
                 cut = [t.split() for t in part["text"].to_pylist()]
                 met: set[str] = set()
                 for words in cut:

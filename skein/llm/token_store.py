@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import mph
-from skein.llm.common import documents, new_dir, staged
+from skein.llm.common import documents, new_dir, slices, staged
 from skein.llm.encoding import encoder
 
 FOOTER = struct.Struct("<8sQQQQQQ")
@@ -133,8 +133,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFra
             if not batch.num_rows:
                 continue
             out = out or ShardWriter(folder, f"shard-{number:06d}.bin", width)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch):
                 for key, raw in zip(part["doc_id"].to_pylist(), enc.ids(part["text"].to_pylist())):
                     out.add(key, np.append(np.frombuffer(raw, "<u4"), np.uint32(END_ID)))
         if out:

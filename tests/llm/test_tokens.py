@@ -18,9 +18,8 @@ ODD = [
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_chunked_ids_equal_those_of_the_library(path):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rnd = random.Random(5)
-    texts = ODD + ["".join(rnd.choice([*"ab1 .'\n*|-é́\tA_", "'s", "  "]) for _ in range(rnd.randint(0, 60))) for _ in range(500)]
+    texts = ODD + ["".join(rnd.choice([*"ab1 .'\n*|-é́\tA_", "'s", "  ", "<|endoftext|>", "<|startoftext|>", "<|"]) for _ in range(rnd.randint(0, 60))) for _ in range(500)]
     enc = Encoder(path)
     for _ in range(2):  # what was learned gives the same
         for text, raw in zip(texts, enc.ids(texts)):
@@ -29,7 +28,6 @@ def test_chunked_ids_equal_those_of_the_library(path):
 
 def test_spans_equal_those_of_the_library():
     plain = Tokenizer.from_file(BYTES)
-    plain.encode_special_tokens = True
     texts = [*ODD, "日本 x\n\n\n語é", "áb\n"]
     for text, (starts, ends) in zip(texts, Encoder(BYTES).token_spans(texts)):
         assert list(zip(starts.tolist(), ends.tolist())) == plain.encode(text, add_special_tokens=False).offsets, text
@@ -37,11 +35,10 @@ def test_spans_equal_those_of_the_library():
 
 def expected(rows, path):
     k = Tokenizer.from_file(path)
-    k.encode_special_tokens = True
     return {key: np.array(k.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for key, t in rows}
 
 
-ROWS = [(7, "b c"), (3, None), (5, ""), (-2, "x y z é\n"), (9, "long " * 5000), (4, "same"), (6, "same")]
+ROWS = [(7, "b c"), (3, None), (5, ""), (-2, "x y z é\n"), (9, "long " * 5000), (4, "same"), (6, "same"), (8, "a!!<|endoftext|>b <|startoftext|>c")]
 
 
 def test_token_files_round_trip(spark, make):
@@ -52,7 +49,7 @@ def test_token_files_round_trip(spark, make):
     for key in sorted(want):
         assert (got[key]["start"], got[key]["n_tokens"], got[key]["ids_crc32"]) == (start, len(want[key]), zlib.crc32(want[key].tobytes()))
         start += len(want[key])
-    keys = spark.createDataFrame([(7,), (9,), (8,), (None,), (7,)], "k long")
+    keys = spark.createDataFrame([(7,), (9,), (18,), (None,), (7,)], "k long")
     found = {r["doc_id"]: r["ids"] for r in token_store.lookup(manifest, keys).collect()}
     assert found == {k: want[k].tolist() for k in (7, 9)}
 
