@@ -75,7 +75,7 @@ def secrets(rules: list[tuple[str, str]], base: int) -> str:
     FROM doc d LEFT JOIN named n ON d.doc_id = n.doc_id GROUP BY d.doc_id"""
 
 
-def personal_data(patterns: dict[str, str], term: str, reach: int, min_docs: int, generalised: float, removed: float) -> str:
+def personal_data(patterns: dict[str, str], term: str, min_docs: int, generalised: float, removed: float) -> str:
     """The base kinds in order with their expressions as they are stated."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     twice = "lambda c, i: CAST(c AS INTEGER) * (1 + (i + 1) % 2) - CASE WHEN i % 2 = 0 AND CAST(c AS INTEGER) > 4 THEN 9 ELSE 0 END"
@@ -86,32 +86,27 @@ def personal_data(patterns: dict[str, str], term: str, reach: int, min_docs: int
         f"length({digits}) BETWEEN 9 AND 15",
     ]
     parts = [f"SELECT doc_id, {k} AS k, '{kind}' AS kind, lower(m) AS entity, start, start + length(m) AS stop FROM {located('doc', 'doc_id', 't', p)} WHERE {valid[k]}" for k, (kind, p) in enumerate(patterns.items())]
-    left = located("lefts", "doc_id, k, entity, start AS base_start, cut", "x", term)
-    right = located("rights", "doc_id, k, entity, start AS base_start, cut", "x", term)
     return f"""
     WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), span AS ({' UNION ALL '.join(parts)}
-    ), lefts AS (
-        SELECT span.*, greatest(start - {reach}, 0) AS cut, substr(t, greatest(start - {reach}, 0) + 1, least(start, {reach})) AS x FROM span JOIN doc USING (doc_id)
-    ), rights AS (
-        SELECT span.*, stop AS cut, substr(t, stop + 1, {reach}) AS x FROM span JOIN doc USING (doc_id)
-    ), raw AS (
-        SELECT doc_id, k, entity, lower(m) AS term, cut + start AS a, cut + start + length(m) AS b FROM {left} WHERE start > 0 OR base_start <= {reach}
-        UNION SELECT doc_id, k, entity, lower(m), cut + start, cut + start + length(m) FROM {right} WHERE start + length(m) < {reach}
+    ), holder AS (SELECT * FROM doc WHERE doc_id IN (SELECT doc_id FROM span)
+    ), raw AS (SELECT doc_id, lower(m) AS term, start AS a, start + length(m) AS b FROM {located('holder', 'doc_id', 't', term)}
     ), near AS (
         SELECT * FROM raw WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.doc_id = raw.doc_id AND s.start < b AND s.stop > a)
     ), total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM doc
-    ), pair AS (SELECT k, entity, term, count(DISTINCT doc_id) AS co FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= {min_docs}
-    ), ent AS (SELECT k, entity, count(DISTINCT doc_id) AS de FROM span GROUP BY ALL
+    ), ent AS (SELECT k, entity, count(DISTINCT doc_id) AS de FROM span GROUP BY ALL HAVING count(DISTINCT doc_id) >= {min_docs}
+    ), held AS (SELECT DISTINCT doc_id, k, entity, de FROM span JOIN ent USING (k, entity)
+    ), pair AS (
+        SELECT k, entity, de, term, count(*) AS co FROM held JOIN (SELECT DISTINCT doc_id, term FROM near) USING (doc_id) GROUP BY ALL HAVING count(*) >= {min_docs}
     ), word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '\\p{{L}}+')) AS term FROM doc
     ), freq AS (SELECT term, count(*) AS df FROM word WHERE term IN (SELECT term FROM pair) GROUP BY term
     ), share AS (
-        SELECT k, entity, term, log2(n * co / (df * de)) / log2(n / de) AS share
-        FROM pair JOIN ent USING (k, entity) JOIN freq USING (term) CROSS JOIN total WHERE de < n
+        SELECT k, entity, term, log2(n * co / (df * de)) / log2(n / de) AS share FROM pair JOIN freq USING (term) CROSS JOIN total WHERE de < n
     ), told AS (
-        SELECT doc_id, a, b, max(share) AS share FROM near JOIN share USING (k, entity, term) WHERE share >= {generalised} GROUP BY ALL
+        SELECT doc_id, term, max(share) AS share FROM held JOIN share USING (k, entity) WHERE share >= {generalised} GROUP BY ALL
     ), named AS (
         SELECT doc_id, k, start AS a, kind || ':' || start || ':' || stop AS s FROM span
-        UNION ALL SELECT doc_id, CASE WHEN share >= {removed} THEN 5 ELSE 4 END, a, CASE WHEN share >= {removed} THEN 'term:' ELSE 'context:' END || a || ':' || b FROM told
+        UNION ALL SELECT doc_id, CASE WHEN share >= {removed} THEN 5 ELSE 4 END, a, CASE WHEN share >= {removed} THEN 'term:' ELSE 'context:' END || a || ':' || b
+        FROM near JOIN told USING (doc_id, term)
     ) SELECT d.doc_id AS doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card,
         count(*) FILTER (WHERE k = 3) AS n_phone, sha256(coalesce(string_agg(s, ',' ORDER BY k, a) FILTER (WHERE k < 4), '')) AS base_sha256,
         coalesce(string_agg(s, ',' ORDER BY k, a), '') AS spans
@@ -125,4 +120,4 @@ STATED = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-PERSONAL_DATA = personal_data(STATED, r"\p{L}{3,}", reach=60, min_docs=2, generalised=0.75, removed=0.95)
+PERSONAL_DATA = personal_data(STATED, r"\p{L}{3,}", min_docs=2, generalised=0.75, removed=0.95)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -94,3 +95,33 @@ def test_terms_far_from_an_entity_in_the_same_document(make):
 
 def test_personal_data_of_an_empty_table(make):
     assert private.find(make([(1, "a")]).where("false")).count() == 0
+
+
+def test_a_text_of_many_matches_takes_seconds(spark, make):
+    """A megabyte with 50,000 matches of all kinds, twice, beside plain rows."""
+    rnd = random.Random(5)
+    kinds = ["ann{0}@site.org", "10.0.{1}.{2}", "4111 1111 1111 1111", "+49 151 1{0:06d}", "4111111111111111@x.y", "word{3} "]
+    text = " , ".join(rnd.choice(kinds).format(i, i % 256, i // 256 % 256, "abcdefghij"[i % 10] * 3) for i in range(60_000))
+    assert len(text) > 1_000_000
+    rows = [(1, text), (2, text), (3, None), (4, "nothing here")]
+    began = time.time()
+    got = {r["doc_id"]: r for r in private.find(make(rows)).collect()}
+    assert time.time() - began < 60
+    want = brute_base(text)
+    for key in (1, 2):
+        assert got[key]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[key]["spans"].startswith(want)
+    assert got[1]["n_email"] + got[1]["n_ip"] + got[1]["n_card"] + got[1]["n_phone"] > 50_000
+
+
+def test_generalised_terms_keep_a_beginning_of_little_information(spark, make):
+    """zanzibar is with ann in four of its five documents, so it is cut to the
+    longest beginning that enough words share."""
+    rows = [(i, "zanzibar ann@site.org letter") for i in range(4)] + [(9, "zanzibar letter")]
+    rows += [(100 + i, "zander zebra letter" if i % 2 else "zebra letter") for i in range(200)]
+    got = {r["doc_id"]: r["text"] for r in private.sanitised(make(rows)).collect()}
+    assert got[0] == "zan* [EMAIL] letter" and got[9] == "zanzibar letter"
+
+
+def test_overlapping_spans_are_replaced_together(make):
+    got = {r["doc_id"]: r["text"] for r in private.sanitised(make([(1, "é call +378282246310005 now"), (2, None)])).collect()}
+    assert got == {1: "é call [PHONE] now", 2: ""}
