@@ -6,8 +6,10 @@ pieces that occur in the sample; a language whose sample covers the text in few
 phrases is close to it. Phrases times the logarithm of the sample's length, by
 the text's length, estimate the cross entropy, and the lowest wins.
 
-Letters are lower-cased, everything else is one space, and a parse starts anew
-every LANE characters, so that many lanes of many texts advance together.
+Letters are lower-cased, everything else is one space. Lanes of LANE characters
+of many texts advance together, each as if a phrase began with it; then the state
+that the lane before ends in is carried over, and phrases are counted anew up to
+where both parses meet in one state. So the phrases are those of the whole text.
 
 Defined results: a null text or one without letters is `und` with score 0; the
 score is h2 / (h1 + h2) for the two lowest entropies, 1 where one language is
@@ -26,31 +28,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, hold, ship, small_batches
+from skein.llm.common import documents, hold, ranges, ship, slices
 
 UNKNOWN = "und"
 LANE = 512
-PREDICTED = "doc_id long, lang_pred string, score double, entropy double"
+MARK = "__language_predicted_here"
+PREDICTED = "doc_id long, lang_pred string, score double, entropy double, known boolean"
 
 Sample = tuple[tuple[str, str], ...]
 
 
-def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, most_languages: int = 256) -> Sample:
-    """(language, text) in order of language. Whole documents in order of a hash
-    of their ids, up to most_docs for a language, until the text has `chars`
-    characters; texts without a letter do not count. This is the bounded sample that the model is fitted on; with
-    more languages than most_languages, the most frequent are learned."""
+def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, total: int = 200_000) -> Sample:
+    """(language, text) in order of language: the bounded sample that the model is
+    fitted on. Every language is learned. Its documents that hold a letter are
+    taken whole, in order of a hash of their ids, until the text has `chars`
+    characters or most_docs documents. Longer documents than `chars` are passed
+    over; a language that has no others is learned from its shortest. With more than total / chars languages, each has as many
+    characters fewer. Only the chosen texts reach the driver."""
     rows = labelled.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("lang", "doc_id").withColumn("n", order).where(F.col("n") <= most_docs)
-    chosen = chosen.join(F.broadcast(known.select("lang")), "lang", "left_semi").select("lang", "doc_id").distinct()
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = rows.select("lang", "doc_id", F.xxhash64("text").alias("mark"), F.length("text").alias("size")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.col("size") > chars, F.when(F.col("size") > chars, F.col("size")), F.xxhash64("doc_id"), "doc_id", "mark")
+    few = few.withColumn("n", F.row_number().over(order)).where((F.col("n") <= most_docs) & ((F.col("size") <= chars) | (F.col("n") == 1)))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumn("before", before).where(F.col("before") < chars).select("lang", "doc_id", "mark", "n", "before")
+    found = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "mark"]).select("lang", "n", "before", "text").distinct().collect()
+    own = min(chars, total // max(1, len({r["lang"] for r in found})))
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        got = texts.setdefault(r["lang"], [])
-        if sum(map(len, got)) < chars:
-            got.append(r["text"])
-    return tuple((k, "\n".join(v)[: 4 * chars]) for k, v in sorted(texts.items()) if any(map(str.isalpha, "".join(v))))
+    for r in sorted(found, key=lambda r: (r["lang"], r["n"])):
+        if r["before"] < own:
+            texts.setdefault(r["lang"], []).append(r["text"])
+    return tuple((k, "\n".join(v)) for k, v in texts.items())
 
 
 class SuffixAutomaton:
@@ -119,6 +127,12 @@ class Parser:
             codes = self.codes([t])[0]
             self.tables.append(SuffixAutomaton(codes.tolist()).table(self.symbols))
             self.bits.append(np.log2(max(2, len(codes))))
+        self.foreign = np.full(len(learned), np.inf)
+        if len(learned) > 1:
+            counts, sizes = self.phrases([t for _, t in learned])
+            h = counts * np.array(self.bits)[:, None] / sizes
+            np.fill_diagonal(h, np.inf)
+            self.foreign = h.min(axis=1)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts in a row, runs of other characters as one 0, and
@@ -139,58 +153,88 @@ class Parser:
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         starts = np.repeat(np.cumsum(sizes) - sizes, lanes) + inside * LANE
         lengths = np.minimum(LANE, np.repeat(sizes, lanes) - inside * LANE)
-        order = np.argsort(-lengths, kind="stable")
-        owner, starts, lengths = owner[order], starts[order], lengths[order]
         counts = np.zeros((len(self.tables), len(texts)))
         if not len(owner):
             return counts, sizes
-        live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right").tolist()
+        order = np.argsort(-lengths, kind="stable")
+        live = np.searchsorted(-lengths[order], -np.arange(1, lengths[order[0]] + 1), "right").tolist()
+        first = starts[order]
         state = np.empty((len(self.tables), len(owner)), np.int32)
         made = np.zeros((len(self.tables), len(owner)), np.int32)
         for k, table in enumerate(self.tables):
             state[k] = len(table) - self.symbols
         for j, n in enumerate(live):
-            column = codes[starts[:n] + j]
+            column = codes[first[:n] + j]
             for k, table in enumerate(self.tables):
                 to = table[state[k, :n] + column]
                 failed = to >> 31
                 made[k, :n] -= failed
                 state[k, :n] = to ^ failed
-        for k in range(len(self.tables)):
-            counts[k] = np.bincount(owner, made[k], len(texts))
+        back = np.argsort(order, kind="stable")
+        for k, table in enumerate(self.tables):
+            counts[k] = np.bincount(owner, carried(table, len(table) - self.symbols, codes, inside, starts, lengths, state[k, back], made[k, back]), len(texts))
         return counts, sizes
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
-        """(language, score, entropy) of each text."""
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
+        """(language, score, entropy, known) of each text; known: whether it is
+        closer to the language than texts of other languages are."""
         counts, sizes = self.phrases(texts)
         out = []
         for i, t in enumerate(texts):
             if not self.tables or not any(map(str.isalpha, t)):
-                out.append((UNKNOWN, 0.0, None))
+                out.append((UNKNOWN, 0.0, None, False))
                 continue
             h = counts[:, i] * self.bits / sizes[i]
             first = int(np.argmin(h))
             second = float(np.delete(h, first).min()) if len(h) > 1 else None
-            out.append((self.languages[first], 1.0 if second is None else second / (h[first] + second), float(h[first])))
+            c = counts[first, i]
+            known = (c - 2 * np.sqrt(c) - 1) * self.bits[first] / sizes[i] < self.foreign[first]
+            out.append((self.languages[first], 1.0 if second is None else second / (h[first] + second), float(h[first]), bool(known)))
         return out
 
 
+def carried(table: np.ndarray, root: int, codes: np.ndarray, inside: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ends: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each lane when the parse goes on from the lane before.
+    made and ends are those of parses that begin anew with each lane. Both parses
+    of a lane are followed until they are in one state. A lane where they never
+    are (rare) ends in another state, so the lane after it is followed again."""
+    ends, fixed = ends.copy(), made.copy()
+    todo = np.flatnonzero(inside)
+    while len(todo):
+        lane, at = todo, starts[todo]
+        own, anew = ends[lane - 1], np.full(len(lane), root, np.int32)
+        fixed[lane] = made[lane]
+        late = []
+        for j in range(LANE):
+            column = codes[at]
+            to = table[own + column]
+            failed = to >> 31
+            own = to ^ failed
+            other = table[anew + column]
+            lost = other >> 31
+            anew = other ^ lost
+            fixed[lane] += lost - failed
+            apart = own != anew
+            over = apart & (lengths[lane] == j + 1)
+            if over.any():
+                changed = over & (ends[lane] != own)
+                late.append(lane[changed])
+                ends[lane[changed]] = own[changed]
+                apart &= ~over
+            lane, at, own, anew = lane[apart], at[apart] + 1, own[apart], anew[apart]
+            if not len(lane):
+                break
+        after = np.concatenate(late) + 1 if late else np.zeros(0, np.int64)
+        after = after[after < len(inside)]
+        todo = after[inside[after] > 0]
+    return fixed
+
+
 @lru_cache(1)
 def parser(learned: Sample) -> Parser:
     return Parser(learned)
 
 
-def pieces(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    lo = total = 0
-    for i, t in enumerate(texts):
-        if i > lo and total + len(t) > most_chars:
-            yield lo, i
-            lo, total = i, 0
-        total += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def predict(docs: DataFrame, learned: Sample) -> DataFrame:
     """PREDICTED of every document. Each worker builds the automata of the small
     sample once."""
@@ -200,13 +244,12 @@ def predict(docs: DataFrame, learned: Sample) -> DataFrame:
         import pyarrow as pa
 
         hold("languages", parser.cache_clear)
-        known = parser(learned)
+        model = parser(learned)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for lo, hi in pieces(texts):
-                rows = zip(*known.predict(texts[lo:hi]))
-                columns = [pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), *columns], ["doc_id", "lang_pred", "score", "entropy"])
+            for part in slices(batch):
+                rows = zip(*model.predict(part["text"].to_pylist()))
+                columns = [pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], ["doc_id", "lang_pred", "score", "entropy", "known"])
 
     return documents(docs).mapInArrow(read, PREDICTED)
 
@@ -218,22 +261,28 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> F.Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows that are not held out, and predict all: doc_id,
-    held_out, lang_pred, score, entropy."""
+    held_out, lang_pred, score, entropy, known."""
     learned = sample(docs.where(~held_out()))
-    return predict(docs, learned).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "entropy")
+    return predict(docs, learned).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "entropy", "known")
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows and columns of documents whose text has a known language: those
-    that predict() does not call UNKNOWN. The model is learned from the table
-    itself; held-out rows play no part in it."""
-    small_batches(ship(docs.sparkSession))
+    """The rows and columns of documents in a known language, lang being the one
+    predicted. Rejected are texts without letters and texts that are no closer to
+    the language predicted than the samples of other languages are, beyond what
+    two standard deviations of the count of phrases and one phrase more may hide;
+    so a text of few words is not rejected for its length. The model is learned
+    from the table itself; held-out rows play no part in it."""
+    ship(docs.sparkSession)
     learned = sample(docs.where(~held_out()))
 
     @F.pandas_udf("string")
     def language(column: pd.Series) -> pd.Series:
         hold("languages", parser.cache_clear)
-        known, texts = parser(learned), column.fillna("").tolist()
-        return pd.Series([p[0] for lo, hi in pieces(texts) for p in known.predict(texts[lo:hi])], index=column.index, dtype=object)
+        model, texts = parser(learned), column.fillna("").tolist()
+        found = [p for lo, hi in ranges(list(map(len, texts))) for p in model.predict(texts[lo:hi])]
+        return pd.Series([p[0] if p[3] else UNKNOWN for p in found], index=column.index, dtype=object)
 
-    return docs.where(language("text") != UNKNOWN)
+    predicted = language(F.col("text").cast("string"))
+    marked = docs.select("*", predicted.alias(MARK)).where(F.col(MARK) != UNKNOWN)
+    return marked.select(*(F.col(MARK).cast(f.dataType).alias(f.name) if f.name == "lang" else F.col(f"`{f.name}`") for f in docs.schema))

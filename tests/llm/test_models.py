@@ -12,19 +12,19 @@ def test_parse_counts_equal_a_direct_search():
     rnd = random.Random(1)
     learned = tuple((k, t * 3) for k, t in sorted(FOX.items()))
     p = languages.Parser(learned)
-    texts = ["".join(rnd.choice("the quick fuchß? Ω") for _ in range(rnd.randint(1, 1200))) for _ in range(20)]
+    texts = ["".join(rnd.choice("the quick fuchß? Ω") for _ in range(rnd.randint(1, 3000))) for _ in range(20)]
+    texts += [t * 20 for t in FOX.values()] + [" ".join(learned[i % 2][1][i * 7 :] for i in range(20)), ""]
     counts, _ = p.phrases(texts)
     for n, (_, sample) in enumerate(learned):
         known = "".join(map(chr, p.codes([sample])[0]))
         for i, t in enumerate(texts):
             codes, made = "".join(map(chr, p.codes([t])[0])), 0
-            for lo in range(0, len(codes), languages.LANE):
-                lane, at = codes[lo : lo + languages.LANE], 0
-                while at < len(lane):
-                    to = at + 1
-                    while to <= len(lane) and lane[at:to] in known:
-                        to += 1
-                    at, made = max(at + 1, to - 1), made + 1
+            at = 0
+            while at < len(codes):
+                to = at + 1
+                while to <= len(codes) and codes[at:to] in known:
+                    to += 1
+                at, made = max(at + 1, to - 1), made + 1
             assert made == counts[n, i]
 
 
@@ -46,6 +46,28 @@ def test_a_language_is_learned_from_its_texts_with_letters(spark):
     assert languages.sample(docs, most_docs=1) == (("de", FOX["de"]), ("en", FOX["en"]))
 
 
+def test_every_language_is_learned_within_the_bounds(spark):
+    rows = [(i, f"alpha beta l{i} " * 4, f"l{i:03d}") for i in range(300)] + [(400 + i, "gamma " * 100, "l000") for i in range(50)] + [(500, "delta " * 9000, "l001"), (501, "eta " * 9000, "long")]
+    learned = dict(languages.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=1000, total=10**6))
+    assert len(learned) == 301 and learned["long"] == "eta " * 9000 and "delta" not in learned["l001"] and 1000 <= len(learned["l000"]) < 1700
+
+
+def test_recognised_texts_carry_their_language(spark):
+    docs = [(i, f"{t} {t[i:]}", k, 1) for k, t in FOX.items() for i in range(30)]
+    odd = [(70, "съешь же ещё этих мягких французских булок " * 9, None, 1), (71, FOX["de"], None, 1), (72, None, None, 1), (73, "", None, 1), (None, "house of the dog", None, 1), (71, FOX["de"], None, 1), (74, "lazy", None, 1)]
+    kept = languages.recognised(spark.createDataFrame(docs + odd, "doc_id long, text string, lang string, entropy long"))
+    assert kept.columns == ["doc_id", "text", "lang", "entropy"]
+    got = [(r["doc_id"], r["lang"]) for r in kept.collect() if r["doc_id"] is None or r["doc_id"] >= 70]
+    assert sorted(got, key=str) == sorted([(71, "de"), (71, "de"), (None, "en"), (74, "en")], key=str)
+    assert languages.recognised(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_languages_with_clashing_columns_and_a_very_long_text(spark):
+    rows = [(i, t, k, 1.5, "x") for k, t in FOX.items() for i in range(8)] + [(9, FOX["de"] * 3000, None, 0.0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    assert [r["lang_pred"] for r in languages.identify(docs).where("doc_id = 9").collect()] == ["de"]
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
