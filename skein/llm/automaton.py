@@ -1,10 +1,14 @@
 """One deterministic automaton for many byte patterns.
 
 Patterns use literals, escapes, classes, groups, ``|``, ``? * + {m} {m,}
-{m,n}``. They are read into one nondeterministic automaton that may start at
-any byte, made deterministic by subset construction and minimised by partition
-refinement. The result is plain arrays: byte -> class, (state, class) -> state,
-state -> bit mask of the patterns that end there.
+{m,n}``. They are read into one nondeterministic automaton, made deterministic
+by subset construction and minimised by partition refinement. The result is
+plain arrays: byte -> class, (state, class) -> state, state -> bit mask of the
+patterns that end there.
+
+An automaton of reversed patterns that may begin at any byte, run from the end
+of a text to its start, marks in one pass where matches of all patterns begin;
+an anchored one of the patterns then gives the longest match from a mark.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ ALL = frozenset(range(256))
 class _Reader:
     """Recursive descent over a pattern; builds states with byte-set edges."""
 
-    def __init__(self, edges: list[list[tuple[frozenset[int], int]]], free: list[list[int]]):
-        self.edges, self.free = edges, free
+    def __init__(self, edges: list[list[tuple[frozenset[int], int]]], free: list[list[int]], backward: bool):
+        self.edges, self.free, self.backward = edges, free, backward
 
     def state(self) -> int:
         self.edges.append([])
@@ -105,7 +109,7 @@ class _Reader:
             self.edges[at].append((node[1], to))
             return to
         if kind == "seq":
-            for x in node[1]:
+            for x in reversed(node[1]) if self.backward else node[1]:
                 at = self._build(x, at)
             return at
         if kind == "or":
@@ -133,13 +137,16 @@ class _Reader:
 @dataclass
 class Automaton:
     """step[state * classes + byte class] is the next state times classes;
-    states from `accepting` on end a pattern, and masks says which."""
+    states from `accepting` on end a pattern, and masks says which. first: the
+    state to begin in, times classes; reset: the byte classes that lead every
+    state to it."""
 
     byte_class: np.ndarray
     step: np.ndarray
     classes: int
     accepting: int
     masks: np.ndarray
+    first: int
     reset: np.ndarray
 
     @property
@@ -147,10 +154,12 @@ class Automaton:
         return len(self.step) // self.classes
 
 
-def build(patterns: list[str]) -> Automaton:
+def build(patterns: list[str], anchored: bool = False, backward: bool = False) -> Automaton:
+    """anchored: matches begin at the first byte only; backward: of the patterns
+    read from their end to their beginning."""
     edges: list[list[tuple[frozenset[int], int]]] = []
     free: list[list[int]] = []
-    reader = _Reader(edges, free)
+    reader = _Reader(edges, free, backward)
     start = reader.state()
     ends: dict[int, int] = {}
     for bit, pattern in enumerate(patterns):
@@ -160,9 +169,9 @@ def build(patterns: list[str]) -> Automaton:
         ends[end] = ends.get(end, 0) | 1 << bit
     byte_class, samples = _classes(edges)
     closures = [_closure([s], free) for s in range(len(edges))]
-    step, masks = _subsets(start, edges, closures, ends, samples)
-    step, masks = _minimised(step, masks)
-    return _arranged(step, masks, byte_class)
+    step, masks = _subsets(start, edges, closures, ends, samples, anchored)
+    step, masks, first = _minimised(step, masks)
+    return _arranged(step, masks, byte_class, first)
 
 
 def _classes(edges) -> tuple[np.ndarray, list[int]]:
@@ -189,8 +198,9 @@ def _closure(states, free) -> frozenset[int]:
     return frozenset(found)
 
 
-def _subsets(start, edges, closures, ends, samples) -> tuple[np.ndarray, np.ndarray]:
-    """Every set holds the start's closure, as a match may begin at any byte."""
+def _subsets(start, edges, closures, ends, samples, anchored: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Unless anchored, every set holds the start's closure, as a match may begin
+    at any byte."""
     moves: list[dict[int, set[int]]] = []
     for out in edges:
         by: dict[int, set[int]] = {}
@@ -202,7 +212,7 @@ def _subsets(start, edges, closures, ends, samples) -> tuple[np.ndarray, np.ndar
     root = closures[start]
     number, todo, rows = {root: 0}, [root], []
     for current in todo:
-        nexts: list[set[int]] = [set(root) for _ in samples]
+        nexts: list[set[int]] = [set() if anchored else set(root) for _ in samples]
         for s in current:
             for k, to in moves[s].items():
                 nexts[k] |= to
@@ -220,25 +230,20 @@ def _subsets(start, edges, closures, ends, samples) -> tuple[np.ndarray, np.ndar
     return np.array(rows, np.int64), masks
 
 
-def _minimised(step: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _minimised(step: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """States stay apart while their masks or the blocks they lead to differ."""
     block = np.unique(masks, return_inverse=True)[1]
     while True:
         _, first, finer = np.unique(np.column_stack([block, block[step]]), axis=0, return_index=True, return_inverse=True)
         finer = finer.reshape(-1)
         if finer.max() == block.max():
-            return finer[step[first]], masks[first]
+            return finer[step[first]], masks[first], int(finer[0])
         block = finer
 
 
-def _arranged(step: np.ndarray, masks: np.ndarray, byte_class: np.ndarray) -> Automaton:
-    """Number the states breadth first from the start (where a byte outside all
-    patterns leads), the accepting ones last."""
-    outside = [k for k in range(step.shape[1]) if len(set(step[:, k].tolist())) == 1]
-    if not outside:
-        raise ValueError("some byte must lie outside every pattern")
-    start = int(step[0, outside[0]])
-    order, met = [start], {start}
+def _arranged(step: np.ndarray, masks: np.ndarray, byte_class: np.ndarray, first: int) -> Automaton:
+    """Number the states breadth first from the first one, the accepting last."""
+    order, met = [first], {first}
     for s in order:
         for t in step[s].tolist():
             if t not in met:
@@ -249,56 +254,69 @@ def _arranged(step: np.ndarray, masks: np.ndarray, byte_class: np.ndarray) -> Au
     place[order] = np.arange(len(order))
     classes = step.shape[1]
     new = place[step[order]] * classes
-    reset = np.array([(new[:, k] == 0).all() for k in range(classes)])
-    return Automaton(byte_class, new.ravel().astype(np.int32), classes, int((masks[order] == 0).sum()), masks[order], reset)
+    begin = int(place[first]) * classes
+    reset = (new == begin).all(axis=0)
+    return Automaton(byte_class, new.ravel().astype(np.int32), classes, int((masks[order] == 0).sum()), masks[order], begin, reset)
 
 
-def scan(a: Automaton, texts: list[bytes], stride: int = 1024) -> np.ndarray:
-    """Bit mask of the patterns that occur in each text, in one pass over the
-    bytes of all of them, many lanes at a time. Lanes are cut behind bytes that
-    lead every state back to the start, so each is scanned as in its text."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    classes = a.byte_class[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    begins = np.cumsum(lengths) - lengths
+def marks(a: Automaton, data: np.ndarray, stride: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(place, bit mask) wherever patterns of an automaton that may begin at any
+    byte end, in one pass over the bytes, many lanes at a time. Lanes are cut
+    behind bytes that lead every state back to the first, so each is scanned as
+    in the whole. Places are in no order."""
+    classes = a.byte_class[data]
     cuts = np.flatnonzero(a.reset[classes]) + 1
-    goals = np.arange(stride, len(classes), stride)
-    at = np.searchsorted(cuts, goals, "right") - 1
+    at = np.searchsorted(cuts, np.arange(stride, len(classes), stride), "right") - 1
     inner = cuts[at[at >= 0]]
-    starts = np.unique(np.concatenate([begins, inner[inner < len(classes)]]))
+    starts = np.unique(np.append(0, inner[inner < len(classes)]))
     sizes = np.diff(np.append(starts, len(classes)))
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    seen = np.zeros(len(starts), np.int64)
-    state = np.zeros(len(starts), np.int32)
+    state = np.full(len(starts), a.first, np.int32)
     live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
     edge = a.accepting * a.classes
+    places, ends = [], []
     for j, n in enumerate(live.tolist()):
         if n <= 4 and sizes[0] - j > 64:
             break
         s = a.step[state[:n] + classes[starts[:n] + j]]
         state[:n] = s
-        hit = s >= edge
-        if hit.any():
-            at = np.flatnonzero(hit)
-            seen[at] |= a.masks[s[at] // a.classes]
+        hit = np.flatnonzero(s >= edge)
+        if len(hit):
+            places.append(starts[hit] + j)
+            ends.append(s[hit])
     else:
         j = sizes[0]
-    if j < sizes[0]:
-        _finish(a, classes, starts, sizes, state, seen, j)
-    found = np.zeros(len(texts), np.int64)
-    hits = np.flatnonzero(seen)
-    np.bitwise_or.at(found, np.searchsorted(begins, starts[hits], "right") - 1, seen[hits])
-    return found
-
-
-def _finish(a: Automaton, classes, starts, sizes, state, seen, j: int) -> None:
-    """The last few long lanes, byte by byte."""
-    step, edge = a.step.tolist(), a.accepting * a.classes
-    for i in range(len(starts)):
-        if sizes[i] <= j:
-            break
-        s = int(state[i])
-        for c in classes[starts[i] + j : starts[i] + sizes[i]].tolist():
+    step = a.step.tolist() if j < sizes[0] else []
+    for i in range(int((sizes > j).sum())):  # the last few long lanes
+        s, found, at = int(state[i]), [], []
+        for p, c in enumerate(classes[starts[i] + j : starts[i] + sizes[i]].tolist(), int(starts[i]) + j):
             s = step[s + c]
             if s >= edge:
-                seen[i] |= a.masks[s // a.classes]
+                at.append(p)
+                found.append(s)
+        places.append(np.array(at, np.int64))
+        ends.append(np.array(found, np.int64))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(places), a.masks[np.concatenate(ends) // a.classes]
+
+
+class Anchored:
+    """Longest matches from given places."""
+
+    def __init__(self, a: Automaton):
+        self.step, self.first, self.edge = a.step.tolist(), a.first, a.accepting * a.classes
+        self.masks, self.classes, self.byte_class = a.masks.tolist(), a.classes, a.byte_class.tolist()
+        self.dead = next((i * a.classes for i in range(a.states) if not a.masks[i] and (a.step[i * a.classes : (i + 1) * a.classes] == i * a.classes).all()), -1)
+
+    def end(self, data: bytes, start: int, bit: int) -> int:
+        """Where the longest match of a pattern from a place ends, -1 for none."""
+        s, best, step, known = self.first, -1, self.step, self.byte_class
+        for p in range(start, len(data)):
+            s = step[s + known[data[p]]]
+            if s == self.dead:
+                break
+            if s >= self.edge and self.masks[s // self.classes] >> bit & 1:
+                best = p + 1
+        return best

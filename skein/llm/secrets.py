@@ -1,9 +1,16 @@
 """Secret scanning with one automaton for all rules.
 
-What a match of a rule must contain (for the base kinds their shortest matches)
-is compiled, with all other rules, to one minimal deterministic automaton (see
-automaton.py) that reads each byte of a document once. Where it ends a rule, the
-rule's own expression is run over the whole document for exact leftmost spans.
+The rules are compiled to one minimal deterministic automaton (see automaton.py)
+of the reversed rules, which reads each byte of a document once, from its end,
+and marks where matches begin. From a mark, the automaton of the rules gives the
+longest match, which is the greedy one here. Both are built once on the driver
+and broadcast.
+
+Matches are leftmost and do not overlap within a rule. Least lengths are counted
+after that, as lengths counted by several rules at once multiply the states: a
+match of a base kind that fails is dropped with its characters; another rule that
+fails is tried again from its next mark, as an expression with the length in it
+would.
 
 Defined results: a null or empty text has no spans; a null doc_id is kept;
 repeated rows are scanned as rows of their own; an empty table gives no rows;
@@ -14,17 +21,17 @@ end is exclusive, and spans with one start follow the order of RULES.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import automaton
-from skein.llm.common import documents, hold
+from skein.llm.common import documents, hold, ranges, slices
 
 VALUE = "[A-Za-z0-9+/_.=-]"
 
@@ -35,83 +42,129 @@ def either_case(words: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """shortest: what must occur for a match, a short expression, as lengths
-    counted by several rules at once multiply the states; full: the match,
-    leftmost and non-overlapping; valid: which of the matches count."""
+    """full: the rule as an expression; span: the same with open counts as +,
+    what the automaton reads; valid: which matches count."""
 
     kind: str
-    shortest: str
     full: str
-    valid: Callable[[re.Match], bool] = lambda m: True
+    span: str
+    valid: Callable[[str], bool] = lambda m: True
+
+
+def value_of(match: str) -> str:
+    """The value of an assignment: what follows the sign, spaces and a quote."""
+    rest = match[min(i for i in map(match.find, ":=") if i >= 0) + 1 :].lstrip(" ")
+    return rest[1:] if rest[0] in "\"'" else rest
+
+
+def longer(prefix: int, least: int) -> Callable[[str], bool]:
+    return lambda m: len(m) >= prefix + least
 
 
 NAMES = "(?:" + "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key"))) + ")"
+ASSIGN = NAMES + "[\"']?\\x20*[:=]\\x20*[\"']?"
 #: The three base kinds, then well-known public credential formats.
 RULES = [
-    Rule("assign", NAMES + "[\"']?\\x20*[:=]\\x20*[\"']?" + VALUE + "{12}", f"({NAMES})[\"']?\\x20*[:=]\\x20*[\"']?({VALUE}+)", lambda m: len(m[2]) >= 12),
-    Rule("access", "AKIA[A-Z0-9]{14}", "AKIA[A-Z0-9]+", lambda m: m.end() - m.start() >= 18),
-    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", lambda m: m.end() - m.start() >= 16),
-    Rule("github", "gh[pousr]_", "gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("slack", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("google", "AIza", "AIza[A-Za-z0-9_-]{35,}"),
-    Rule("stripe", "[rs]k_live_", "[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8}", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+)?"),
-    Rule("private_key", "-----BEGIN ", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("assign", f"({NAMES})[\"']?\\x20*[:=]\\x20*[\"']?({VALUE}+)", f"{ASSIGN}{VALUE}+", lambda m: len(value_of(m)) >= 12),
+    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]+", longer(0, 18)),
+    Rule("hex", "[0-9a-f]+", "[0-9a-f]+", longer(0, 16)),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_[A-Za-z0-9]+", longer(4, 36)),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]+", longer(5, 10)),
+    Rule("google", "AIza[A-Za-z0-9_-]{35,}", "AIza[A-Za-z0-9_-]+", longer(4, 35)),
+    Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", "[rs]k_live_[A-Za-z0-9]+", longer(8, 16)),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+)?", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)?", lambda m: min(map(len, m.split(".")[:2])) >= 11),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 BASE = 3
+#: A run of hexadecimal digits is one match, so only those with enough to the
+#: right need a mark; every other rule is marked as it is.
+MARKED = {"hex": "[0-9a-f]{16}"}
 NOTHING = hashlib.sha256(b"").hexdigest()
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
 @cache
-def combined() -> automaton.Automaton:
-    return automaton.build([r.shortest for r in RULES])
+def compiled() -> tuple[automaton.Automaton, automaton.Automaton]:
+    """The automata that mark beginnings and that find ends."""
+    return automaton.build([MARKED.get(r.kind, r.span) for r in RULES], backward=True), automaton.build([r.span for r in RULES], anchored=True)
+
+
+class Scanner:
+    """Spans of texts with given automata."""
+
+    def __init__(self, back: automaton.Automaton, forward: automaton.Automaton):
+        self.back, self.ends = back, automaton.Anchored(forward)
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(start, rule number, end) of every text, sorted."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        if not texts:
+            return out
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join(raw) + b"\n"
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        begins = np.cumsum(lengths) - lengths
+        places, masks = automaton.marks(self.back, np.frombuffer(data, np.uint8)[::-1])
+        places = len(data) - 1 - places
+        order = np.argsort(places, kind="stable")
+        places, masks = places[order], masks[order]
+        owner = np.searchsorted(begins, places, "right") - 1
+        edges = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(owner)]
+        for lo, hi in zip(edges, edges[1:]):
+            i = int(owner[lo])
+            found = self._resolved(raw[i], (places[lo:hi] - begins[i]).tolist(), masks[lo:hi].tolist())
+            if found and len(raw[i]) > len(texts[i]):
+                character = np.append(0, np.cumsum((np.frombuffer(raw[i], np.uint8) & 0xC0) != 0x80))
+                found = [(int(character[a]), n, int(character[b])) for a, n, b in found]
+            out[i] = sorted(found)
+        return out
 
+    def _resolved(self, data: bytes, places: list[int], masks: list[int]) -> list[tuple[int, int, int]]:
+        """Leftmost matches that do not overlap, rule by rule, in bytes."""
+        found, after = [], [0] * len(RULES)
+        for p, mask in zip(places, masks):
+            while mask:
+                n = (mask & -mask).bit_length() - 1
+                mask &= mask - 1
+                if p < after[n]:
+                    continue
+                end = self.ends.end(data, p, n)
+                good = RULES[n].valid(data[p:end].decode("ascii"))
+                if good:
+                    found.append((p, n, end))
+                if good or n < BASE:
+                    after[n] = end
+        return found
 
-@cache
-def expressions() -> list[re.Pattern]:
-    return [re.compile(r.full) for r in RULES]
 
+_SCANNERS: dict[int, Scanner] = {}
 
-def spans_of(texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(start, rule number, end) of every text, sorted."""
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not texts:
-        return out
-    hold("secrets", combined.cache_clear)
-    masks = automaton.scan(combined(), [t.encode("utf-8", "surrogatepass") for t in texts])
-    for i in masks.nonzero()[0].tolist():
-        for n, (rule, full) in enumerate(zip(RULES, expressions())):
-            if masks[i] >> n & 1:
-                out[i] += [(m.start(), n, m.end()) for m in full.finditer(texts[i]) if rule.valid(m)]
-        out[i].sort()
-    return out
 
+def shared(spark: SparkSession) -> Callable[[], Scanner]:
+    """The scanner in a worker, from automata that are built here and broadcast."""
+    arrays = spark.sparkContext.broadcast(compiled())
+
+    def scanner() -> Scanner:
+        hold("secrets", _SCANNERS.clear)
+        if not _SCANNERS:
+            _SCANNERS[0] = Scanner(*arrays.value)
+        return _SCANNERS[0]
 
-def parts(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of bounded total length, for bounded memory."""
-    lo = total = 0
-    for i, t in enumerate(texts):
-        if i > lo and total + len(t) > most_chars:
-            yield lo, i
-            lo, total = i, 0
-        total += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+    return scanner
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Counts, the digest of the base spans and all spans of each document."""
+    scanner = shared(docs.sparkSession)
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = [r.kind for r in RULES]
+        kinds, own = [r.kind for r in RULES], scanner()
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for lo, hi in parts(texts):
+            for part in slices(batch):
                 rows = []
-                for key, found in zip(batch["doc_id"].slice(lo, hi - lo).to_pylist(), spans_of(texts[lo:hi])):
+                for key, found in zip(part["doc_id"].to_pylist(), own.spans(part["text"].to_pylist())):
                     if not found:
                         rows.append((key, 0, 0, 0, NOTHING, ""))
                         continue
@@ -141,11 +194,12 @@ def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with every span replaced; a null text stays
     null, and n_chars, where present, is counted anew."""
     documents(docs)
+    scanner = shared(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:
-        texts = column.fillna("").tolist()
-        out = [redacted_text(t, f) for lo, hi in parts(texts) for t, f in zip(texts[lo:hi], spans_of(texts[lo:hi]))]
+        texts, own = column.fillna("").tolist(), scanner()
+        out = [redacted_text(t, f) for lo, hi in ranges(list(map(len, texts))) for t, f in zip(texts[lo:hi], own.spans(texts[lo:hi]))]
         return pd.Series(out, index=column.index, dtype=object).where(column.notna(), None)
 
     out = docs.withColumn("text", clean("text"))
