@@ -31,12 +31,15 @@ BENCHMARK_LEAKS = r"""
         SELECT doc_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS p FROM doc WHERE len(w) > 4)
     ), q AS (
         SELECT item_id, n, q, array_to_string(w[q + 1:q + 5], ' ') AS s FROM (SELECT item_id, w, len(w) AS n, unnest(range(0, len(w) - 4)) AS q FROM item WHERE len(w) > 4)
+    ), met_once AS (
+        SELECT DISTINCT d.doc_id, q.item_id, q.n AS n, least(q.n, d.n) AS size, d.n - least(q.n, d.n) AS last FROM d JOIN q ON d.s = q.s
     ), laid AS (
-        SELECT DISTINCT d.doc_id, q.item_id, q.n AS n, least(q.n, d.n) AS size, greatest(0, least(p - q.q + shift, d.n - q.n)) AS start
-        FROM d JOIN q ON d.s = q.s CROSS JOIN (SELECT unnest([-1, 0, 1]) AS shift)
+        SELECT doc_id, item_id, n, size, unnest(range(0, last + 1)) AS start FROM met_once
+    ), hit AS (
+        SELECT DISTINCT d.doc_id, q.item_id, d.p, d.s FROM d JOIN q ON d.s = q.s
     ), own AS (
-        SELECT l.doc_id, l.item_id, l.start, l.n, l.size, d.s, count(*) AS c
-        FROM laid l JOIN d ON d.doc_id = l.doc_id AND d.p >= l.start AND d.p <= l.start + l.size - 5 GROUP BY ALL
+        SELECT l.doc_id, l.item_id, l.start, l.n, l.size, hit.s, count(*) AS c
+        FROM laid l JOIN hit ON hit.doc_id = l.doc_id AND hit.item_id = l.item_id AND hit.p >= l.start AND hit.p <= l.start + l.size - 5 GROUP BY ALL
     ), its AS (
         SELECT item_id, s, count(*) AS c FROM q GROUP BY ALL
     ), met AS (
