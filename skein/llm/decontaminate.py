@@ -93,11 +93,16 @@ def windows(docs: DataFrame, shingle: DataFrame, size: int, threshold: float) ->
     reach the threshold with one. row: a digest that equal texts share; shingle:
     n, h.
 
+    Arrays are made before they are exploded, so that no row copies the words, and
+    exploded by the outer form: the other would test the array's size first and
+    make it once more for that.
+
     Of the `need` places that a window must have, the first is hit k and the last
     hit k + need - 1, so its start lies after hit k - 1, not after hit k, and at
     most m - 1 before hit k + need - 1."""
     texts = documents(docs).select(F.md5("text").alias("row"), words(F.col("text")).alias("words"))
-    at = texts.select("row", F.size("words").alias("length"), F.posexplode(hashes("words", size)).alias("p", "h"))
+    at = texts.select("row", F.size("words").alias("length"), hashes("words", size).alias("all"))
+    at = at.select("row", "length", F.posexplode_outer("all").alias("p", "h"))
     at = at.join(sized(shingle.select("h").distinct()), "h", "left_semi")
     hits = at.join(sized(shingle), "h").groupBy("row", "n", "length").agg(F.sort_array(F.collect_set("p")).alias("hits"))
     hits = hits.withColumn("m", F.least("n", "length") - (size - 1))
@@ -105,7 +110,7 @@ def windows(docs: DataFrame, shingle: DataFrame, size: int, threshold: float) ->
     hits = hits.withColumn("need", F.greatest(F.lit(1), need.cast("int"))).where(F.size("hits") >= F.col("need"))
     begin = "greatest(0, if(k > 0, get(hits, k - 1) + 1, 0), get(hits, k + need - 1) - m + 1)"
     some = F.expr(f"transform(slice(hits, 1, size(hits) - need + 1), (p, k) -> struct({begin} as low, least(p, length - least(n, length)) as high))")
-    first = hits.select("row", "n", "m", F.explode(F.filter(some, lambda x: x["low"] <= x["high"])).alias("at"))
+    first = hits.select("row", "n", "m", F.filter(some, lambda x: x["low"] <= x["high"]).alias("some")).select("row", "n", "m", F.explode_outer("some").alias("at")).where("at is not null")
     return first.select("row", "n", "m", F.explode(F.sequence("at.low", "at.high")).alias("start"))
 
 
@@ -139,7 +144,9 @@ def held(docs: DataFrame, benchmark: DataFrame, threshold: float, stage: Stages)
         laid = stage(windows(docs, shingle, size, threshold).groupBy("row").agg(F.collect_set(F.struct("n", "m", "start")).alias("laid")), "windows")
         texts = documents(docs).select(F.md5("text").alias("row"), "text").join(sized(laid.select("row")), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
         texts = texts.join(laid, "row").select("row", "laid", words(F.col("text")).alias("words")).select("row", "laid", hashes("words", size).alias("all"))
-        cut = texts.select("row", F.explode(F.expr("transform(laid, w -> struct(w.n as n, w.m as m, w.start as start, slice(all, w.start + 1, w.m) as shingles))")).alias("w")).select("row", "w.*")
+        texts = stage(texts, "window-texts")  # else the hashes would be made anew for each window
+        cut = texts.select("row", F.expr("transform(laid, w -> struct(w.n as n, w.m as m, w.start as start, slice(all, w.start + 1, w.m) as shingles))").alias("cut"))
+        cut = cut.select("row", F.explode_outer("cut").alias("w")).select("row", "w.*")
         cut = stage(cut, "cut-windows")
         marked = fingerprinted(cut, ["row", "n", "m", "start"], "shingles")
         met = candidates(marked, stage(fingerprinted(known, ["item_id", "n"], "shingles"), "fingerprints"))

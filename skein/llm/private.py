@@ -109,9 +109,10 @@ def posting() -> list[Column]:
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: in how many documents each of the terms occurs."""
+    """term, df: in how many documents each of the terms occurs. The outer form
+    of explode does not split the text once more to see whether it has words."""
     words = F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))
-    return documents(docs).select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return documents(docs).select(F.explode_outer(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def disclosing(docs: DataFrame, texts: DataFrame, spans: DataFrame, total: int, min_docs: int, generalised: float, stage: Stages) -> DataFrame:
@@ -128,7 +129,7 @@ def disclosing(docs: DataFrame, texts: DataFrame, spans: DataFrame, total: int,
     held = stage(held.withColumn("most", n * F.pow(F.col("de") / n, F.lit(generalised)) + 1e-6), "entities")
     whole = texts.join(held.groupBy("row").agg(F.max("most").alias("most")), "row")
     found = F.expr(f"array_distinct(transform(filter(regexp_extract_all(blanked, {quoted(TERM)}, 0), t -> not contains(t, '{BLANK}')), t -> lower(t)))")
-    near = stage(whole.select("row", "most", F.explode(found).alias("term")), "terms")
+    near = stage(whole.select("row", "most", F.explode_outer(found).alias("term")).where("term is not null"), "terms")
     counts = stage(document_counts(docs, near.select("term").distinct()).where(F.col("df") >= min_docs), "counts")
     near = stage(near.join(counts, "term").where("df <= most").select("row", "term", "df"), "rare-terms")
     groups = near.groupBy("term").agg(*posting()).withColumnsRenamed({"x": "u", "y": "v"})
