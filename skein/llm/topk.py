@@ -1,6 +1,6 @@
 """Exact top-k search by integer inner product over a bit-sliced index.
 
-A block of candidates holds, for each component, the high bits of its quantised
+A bundle of candidates holds, for each component, the high bits of its quantised
 values as bitmaps over the rows. For a query, the bitmaps of each component are
 added, shifted by the signed binary digits of the query's component, with
 carry-save adders: whole bitmaps at a time, so that the sum of all components
@@ -8,28 +8,32 @@ is again a stack of bitmaps. Reading that stack from the most significant slice
 down gives the k-th highest coarse score; the bits left out of the index bound
 the error, and the rows within it are scored exactly.
 
-Candidates and queries are dealt into blocks by a hash of vec_id; a task takes
-a bundle of candidate blocks and one block of queries, and the best rows of the
-bundles are merged for each query.
+Candidates are dealt into bundles by a hash of vec_id. One shuffle brings to each
+bundle its candidates and, behind them, all queries in chunks; a task reads them
+in that order, builds the index of the bundle once and answers chunk after
+chunk. Candidates are moved once; the queries are moved once for each bundle of up
+to BUNDLE vectors. The best rows of the bundles are merged for each query.
 
 Defined results: vectors that are null, empty or hold a null, NaN or infinite
 component take no part; vectors of different length are not compared; equal
 scores rank by the smaller vec_id; rows that share the query's vec_id count as
-the query's own; a null vec_id takes no part; an empty table gives no rows.
+the query's own; a null vec_id takes no part; an empty table gives no rows;
+columns other than the two named do not matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import ship, staged
+from skein.llm.common import ship
 
-ROWS = 512
-BUNDLE = 128
-QUERIES = 128
+BUNDLE = 262_144
+LEAST = 4096
+CHUNK = 1024
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -44,44 +48,22 @@ def codes(vectors: DataFrame, key: str, column: str, scale: float) -> DataFrame:
     )
 
 
-def _pack(frame: pd.DataFrame) -> dict[str, bytes]:
-    """ids and codes of a block as bytes, the codes as narrow as they can be."""
-    code = np.stack(frame["code"].to_numpy()).astype(np.int64)
-    kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(k).min <= code.min() and code.max() <= np.iinfo(k).max)
-    return {"ids": frame["vec_id"].to_numpy(np.int64).tobytes(), "codes": code.astype(kind).tobytes(), "kind": kind}
-
-
-def _unpack(frame: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in frame["ids"]])
-    code = np.concatenate([np.frombuffer(x, k).reshape(-1, dim).astype(np.int64) for x, k in zip(frame["codes"], frame["kind"])])
-    return ids, code
-
-
-def blocks(rows: DataFrame, count: int, seed: int) -> DataFrame:
-    """Rows dealt to `count` blocks, each one row: dim, block, ids, codes, kind."""
-
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"dim": key[0], "block": key[1]} | _pack(frame)])
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, codes binary, kind string")
-
-
 class SlicedIndex:
     """Bitmaps of the high bits of each component of a block of vectors."""
 
     def __init__(self, code: np.ndarray, bits: int = 6):
         self.code, self.n, self.dim = code, *code.shape
-        self.low = code.min(axis=0)
-        width = max(1, int(code.max() - code.min()).bit_length())
+        self.low = code.min(axis=0).astype(np.int64)
+        width = max(1, (int(code.max()) - int(code.min())).bit_length())
         self.drop = max(0, width - bits)
         self.width = width - self.drop
-        coarse = (code - self.low) >> self.drop
         words = -(-self.n // 64)
         self.slices = np.zeros((self.dim, self.width, words), np.uint64)
-        for j in range(self.width):
-            packed = np.packbits(((coarse >> j) & 1).astype(np.uint8).T, axis=1, bitorder="little")
-            self.slices[:, j].view(np.uint8)[:, : packed.shape[1]] = packed
+        for d in range(self.dim):
+            coarse = (code[:, d] - self.low[d]) >> self.drop
+            for j in range(self.width):
+                packed = np.packbits(((coarse >> j) & 1).astype(np.uint8), bitorder="little")
+                self.slices[d, j].view(np.uint8)[: len(packed)] = packed
         full = np.zeros(words * 8, np.uint8)
         ones = np.packbits(np.ones(self.n, np.uint8), bitorder="little")
         full[: len(ones)] = ones
@@ -176,39 +158,67 @@ def rows_of(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little")[:n])
 
 
+def answers(index: SlicedIndex, ids: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """query_id, vec_id and score of the k best rows of a bundle for each query."""
+    counts = np.searchsorted(ids, own, "right") - np.searchsorted(ids, own, "left")
+    out = []
+    for q, value, n in zip(own, queries, counts):
+        rows = index.top(value, k + int(n))
+        rows = rows[ids[rows] != q]
+        score = index.code[rows].astype(np.int64) @ value
+        first = np.lexsort((ids[rows], -score))[:k]
+        out.append((np.full(len(first), q), ids[rows][first], score[first]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best candidates of each query: query_id, rank, vec_id, score. Both
-    sides have vec_id, code, dim, as from codes(). A task holds at most BUNDLE
-    blocks of about ROWS vectors and one block of about QUERIES queries."""
-    ship(candidates.sparkSession)
-    n, q = candidates.count(), queries.count()
-    count = max(1, -(-n // ROWS))
-    query_blocks, bundles = max(1, -(-q // QUERIES)), -(-count // BUNDLE)
-    left = staged(blocks(candidates, count, 1), "vector-blocks").withColumn("bundle", F.col("block") % bundles)
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = blocks(queries, query_blocks, 2).withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))))
-    right = right.withColumnRenamed("block", "part")
-
-    def best(key, candidate: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(candidate) and len(query):
-            ids, code = _unpack(candidate, key[0])
-            index = SlicedIndex(code)
-            for own, value in zip(*_unpack(query, key[0])):
-                rows = index.top(value, k + int(np.count_nonzero(ids == own)))
-                rows = rows[ids[rows] != own]
-                score = code[rows] @ value
-                first = np.lexsort((ids[rows], -score))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[rows][first], "score": score[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    keys = ("dim", "bundle", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, RESULT)
+    sides have vec_id, code, dim, as from codes()."""
+    spark = ship(candidates.sparkSession)
+    n, cores = candidates.count(), spark.sparkContext.defaultParallelism
+    bundles = max(1, -(-n // BUNDLE), min(2 * cores, n // LEAST))
+    bundle = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(bundles)).cast("int")
+    left = candidates.select("dim", bundle.alias("bundle"), F.lit(0).alias("side"), "vec_id", "code")
+    every = F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))
+    right = queries.select("dim", every.alias("bundle"), F.lit(1).alias("side"), "vec_id", "code")
+    dealt = left.union(right).repartition(bundles, "bundle").sortWithinPartitions("bundle", "dim", "side", "vec_id")
+
+    def best(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        group, ids, codes_, index = None, [], [], None
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy() for c in ("bundle", "dim", "side")], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if group != tuple(keys[lo, :2]):
+                    group, ids, codes_, index = tuple(keys[lo, :2]), [], [], None
+                own = batch["vec_id"].slice(lo, hi - lo).to_numpy()
+                code = batch["code"].slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, int(keys[lo, 1]))
+                if keys[lo, 2] == 0:
+                    ids.append(own)
+                    codes_.append(narrow(code))
+                    continue
+                if index is None and ids:
+                    index, known = SlicedIndex(np.concatenate(codes_)), np.concatenate(ids)
+                for at in range(0, hi - lo if ids else 0, CHUNK):
+                    found = answers(index, known, own[at : at + CHUNK], code[at : at + CHUNK], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(best, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def narrow(code: np.ndarray) -> np.ndarray:
+    """The codes in the smallest type that holds them."""
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= code.min() and code.max() <= np.iinfo(t).max)
+    return code.astype(kind)
+
+
 def top_k(vectors: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Queries are the rows whose key is divisible by `every`."""
     rows = codes(vectors, key, column, scale)

@@ -126,3 +126,17 @@ def test_top_k_of_odd_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, k=2).collect())
     assert got == [(0, 1, 1, 4096), (0, 2, 2, 4096), (20, 1, 0, 4096), (20, 2, 1, 4096)]
     assert topk.top_k(df.where("false")).count() == 0
+
+
+def test_top_k_with_clashing_columns_and_many_ties(spark):
+    rng = np.random.default_rng(2)
+    codes = rng.integers(-3, 4, (9000, 4))
+    df = spark.createDataFrame([(i, (c / 64).tolist(), 1, 2, "x") for i, c in enumerate(codes)], "vec_id long, embedding array<double>, bundle int, side int, code string")
+    got = {}
+    for r in topk.top_k(df, k=5, every=300).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(0, 9000, 300):
+        score = codes @ codes[q]
+        want = [i for i in np.lexsort((np.arange(9000), -score))[:6] if i != q][:5]
+        assert [got[q][r + 1] for r in range(5)] == [(i, score[i]) for i in want]
+    assert len(got) == 30
