@@ -18,8 +18,9 @@ copies costs about one comparison for each member.
 Defined results: words are runs of letters, digits and underscores in lower
 case; a text of fewer than five words is one shingle; texts without words are
 copies of each other; a null text is empty; rows that share a doc_id are one
-document, compared by the smallest of its texts; a row with a null doc_id is returned with a null class and joins no
-class; an empty table gives no rows; other columns do not matter.
+document, compared by the smallest of its texts; a row with a null doc_id is
+returned with a null class and joins no class, but in deduplication it is a
+document by its text; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, hold, ship, slices, staged
+from skein.llm.common import Stages, documents, hold, ship, slices, staged
 
 WORDS = 5
+#: Members of a group that are compared with its hub in one slice, and documents
+#: of a band in one cell of its grid.
+SLICE, CELL = 256, 1024
 BANDS, ROWS = 32, 4
 SIGNED = "doc_id long, copy binary, bands array<long>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -173,21 +177,33 @@ def reaches(a: tuple, b: tuple, threshold: float) -> bool:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of which the weighted Jaccard similarity reaches threshold."""
+    """The (a, b) of which the weighted Jaccard similarity reaches threshold. A
+    hub a is dealt to slices of about SLICE partners, and its text is sent once to
+    each; a task keeps the shingles of one hub and meets its partners in turn."""
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hold("near_dup", forget)
+        hub, own = None, None
         for batch in batches:
-            good = [reaches(bag(x), bag(y), threshold) for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    with_a = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    return with_a.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
+            for part in slices(batch):
+                good = []
+                for a, b, text in zip(*(part[c].to_pylist() for c in ("a", "b", "text"))):
+                    if b is None:
+                        hub, own = a, bag(text)
+                    good.append(b is not None and a == hub and reaches(own, bag(text), threshold))
+                yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("many"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "many").alias("slice"))
+    partners = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "slice", "b", "text")
+    hubs = dealt.select("a", "slice").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "text")
+    met = hubs.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
+    return met.select("a", "b", "text").mapInArrow(verify, "a long, b long")
+
+
+def components(edges: DataFrame, stage: Stages) -> DataFrame:
     """(node, root) of every node of the edges (a, b): alternating large-star
     and small-star steps until nothing changes. Each round's edges are written
     to the shared folder; only a count and a checksum reach the driver."""
@@ -202,10 +218,10 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = state(e)
     while True:
-        e = staged(stars(stars(e, True), False), "edges")
+        e = stage(stars(stars(e, True), False), "edges")
         now = state(e)
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
@@ -213,12 +229,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(bands: DataFrame) -> DataFrame:
-    """(a, b): every document of a band with the one that meets most others in
-    all its bands, so that the text which copies were made from comes first."""
+    """(a, b): every document b of a band with the one that meets most others in
+    all its bands, a, so that the text which copies were made from comes first."""
     degree = bands.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus")))
     first = bands.join(degree, "doc_id").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.minus")).alias("pivot"))
-    pairs = bands.join(first, "band").where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+    pairs = bands.join(first, "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b")
 
 
@@ -258,7 +274,18 @@ def mixed(rooted: DataFrame) -> DataFrame:
     return rooted.join(bands, "band", "left_semi")
 
 
-def links(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
+def grid(rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of every band with itself, by band, p and q: a band
+    of many documents is dealt to parts, and each pair of parts is a key of its
+    own, so that no task meets a large band whole."""
+    parts = rooted.groupBy("band").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    dealt = rooted.join(parts, "band").withColumn("p", F.pmod(F.xxhash64("doc_id"), "parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = dealt.withColumn("q", every).drop("parts")
+    return left, dealt.withColumnRenamed("p", "q").withColumn("p", every).drop("parts")
+
+
+def links(texts: DataFrame, bands: DataFrame, threshold: float, stage: Stages) -> DataFrame:
     """Verified links (a, b) between distinct texts that connect exactly the
     documents which all links of at least the threshold connect.
 
@@ -268,52 +295,74 @@ def links(texts: DataFrame, bands: DataFrame, threshold: float) -> DataFrame:
     threshold: texts edited too much to link to anything drop out here, and with
     them the square of the size of a group of loose copies. Of the bands that a
     pair shares, the first one brings it."""
-    pivots = staged(pivot_pairs(bands), "pivots")
-    strong = staged(compared(pivots, texts, threshold), "links")
-    roots = components(strong)
+    pivots = stage(pivot_pairs(bands), "pivots")
+    strong = stage(compared(pivots, texts, threshold), "links")
+    roots = components(strong, stage)
     rooted = bands.join(roots, bands["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    rooted = staged(mixed(rooted), "mixed-bands")
+    rooted = stage(mixed(rooted), "mixed-bands")
     left = texts.join(rooted.select("doc_id").distinct(), "doc_id", "left_semi")
     own = rooted.groupBy("doc_id").agg(F.collect_set("band").alias("bands"))
-    able = staged(sizes(left).where(F.col("m") >= threshold * F.col("n")).join(own, "doc_id"), "sizes")
-    rooted = staged(mixed(rooted.join(able, "doc_id")), "mixed-bands")
+    able = stage(sizes(left).where(F.col("m") >= threshold * F.col("n")).join(own, "doc_id"), "sizes")
+    rooted = stage(mixed(rooted.join(able, "doc_id")), "mixed-bands")
+    one, other = grid(rooted)
     both = F.least("m", "m_b")
     common = F.array_intersect("bands", "bands_b")
-    other = rooted.withColumnsRenamed({"doc_id": "b", "root": "root_b", "n": "n_b", "m": "m_b", "bands": "bands_b"})
-    rest = rooted.withColumnsRenamed({"doc_id": "a", "root": "root_a"}).join(other, "band")
+    other = other.withColumnsRenamed({"doc_id": "b", "root": "root_b", "n": "n_b", "m": "m_b", "bands": "bands_b"})
+    rest = one.withColumnsRenamed({"doc_id": "a", "root": "root_a"}).join(other, ["band", "p", "q"])
     rest = rest.where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (both >= threshold * (F.col("n") + F.col("n_b") - both)))
-    rest = rest.where((F.size(common) >= 2) & (F.array_min(common) == F.col("band"))).select("a", "b").distinct().join(pivots, ["a", "b"], "left_anti")
-    return strong.union(staged(compared(rest, texts, threshold), "links"))
+    rest = rest.where((F.size(common) >= 2) & (F.array_min(common) == F.col("band"))).select("a", "b").distinct()
+    tried = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    return strong.union(stage(compared(rest, texts, threshold), "links"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id and class_id of every row; the class id is the smallest doc_id of
-    the class. Documents are in one class if a chain of links of at least the
-    threshold, or of equal word sequences, joins them."""
-    ship(docs.sparkSession)
-    all_rows = staged(signed(docs), "signatures")
+def found_links(docs: DataFrame, threshold: float, stage: Stages) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with the digest of their copies, the copies with their first
+    document, and verified links between first documents."""
+    all_rows = stage(signed(docs), "signatures")
     named = all_rows.where("doc_id is not null")
-    copies = staged(named.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "copies")
+    copies = stage(named.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "copies")
     bands = copies.select(F.col("first").alias("doc_id"), F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    bands = staged(bands.join(shared, "band"), "bands")
+    bands = stage(bands.join(shared, "band"), "bands")
     wanted = bands.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id")
     texts = documents(docs).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = staged(texts, "candidates")
-    found = links(texts, bands, threshold)
-    several = named.groupBy("doc_id").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high").select("doc_id")
-    one = named.join(several, "doc_id", "left_semi").join(copies, "copy").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    roots = components(found.union(one))
-    placed = all_rows.select("doc_id", "copy").join(copies.select("copy", "first"), "copy", "left")
-    placed = placed.join(roots, placed["first"] == roots["node"], "left")
-    return placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id"))
+    return all_rows, copies, links(stage(texts, "candidates"), bands, threshold, stage)
+
+
+def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id and class_id of every row; the class id is the smallest doc_id of
+    the class. Documents are in one class if a chain of links of at least the
+    threshold, or of equal word sequences, joins them."""
+    with Stages(ship(docs.sparkSession), "near-duplicates") as stage:
+        all_rows, copies, found = found_links(docs, threshold, stage)
+        named = all_rows.where("doc_id is not null")
+        several = named.groupBy("doc_id").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high").select("doc_id")
+        one = named.join(several, "doc_id", "left_semi").join(copies, "copy").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        roots = components(found.union(one), stage)
+        placed = all_rows.select("doc_id", "copy").join(copies.select("copy", "first"), "copy", "left")
+        placed = placed.join(roots, placed["first"] == roots["node"], "left")
+        return staged(placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id")), "classes")
+
+
+def linked(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The links behind the classes: (doc_id, first) names for each document the
+    first one with the same words, and (a, b) are verified links between such
+    firsts that hold every class together."""
+    with Stages(ship(docs.sparkSession), "near-duplicates") as stage:
+        all_rows, copies, found = found_links(docs, threshold, stage)
+        firsts = all_rows.where("doc_id is not null").join(copies, "copy").select("doc_id", "first").distinct()
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return staged(firsts, "firsts"), staged(pairs, "links")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows and columns of one document of each class, its smallest doc_id;
-    rows with a null doc_id stay."""
-    kept = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    stay = stay.withColumn("__row", once).where(F.col("__row") == 1).drop("__row")
-    return stay.union(docs.where("doc_id is null"))
+    """The rows and columns of one document of each class, its smallest doc_id. A
+    row with a null doc_id is a document named by its text, behind all ids below
+    2 ** 62: it stays if no document with an id is in its class."""
+    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)))
+    kept = classes(docs.select(named.alias("doc_id"), "text"), threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    mark, count = "__document_named", "__row_of_document"
+    stay = docs.select("*", named.alias(mark)).join(kept, F.col(mark) == kept["kept_id"], "left_semi")
+    stay = stay.withColumn(count, F.row_number().over(Window.partitionBy(mark).orderBy("text"))).where(F.col(count) == 1)
+    return stay.select(*(stay[c] for c in docs.columns))

@@ -3,8 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, near_dup
+from skein.llm.common import Stages
 
 
 def bag(text):
@@ -62,7 +64,7 @@ def test_deduplication_keeps_one_row_of_each_class(make):
     kept = near_dup.deduplicated(make(rows))
     assert kept.columns == make(rows).columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids.pop(None) == 2
+    assert ids.pop(None) == 1
     assert ids == Counter(set(brute_classes(corpus()).values()))
 
 
@@ -75,9 +77,38 @@ def test_near_duplicates_of_an_empty_table(make):
     assert near_dup.classes(make([(1, "a")]).where("false")).count() == 0
 
 
+def test_links_hold_and_join_the_classes(make):
+    rows = corpus(3)
+    firsts, pairs = near_dup.linked(make(rows))
+    first, bags, want = {r["doc_id"]: r["first"] for r in firsts.collect()}, {k: bag(t) for k, t in rows}, brute_classes(rows)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert all(similarity(bags[a], bags[b]) >= 0.8 for a, b in found) and all(bags[k] == bags[f] and f <= k for k, f in first.items())
+    root = {k: k for k, _ in rows}
+    for _ in range(len(rows)):
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {k: root[first[k]] for k in first} == want
+
+
+def test_a_large_group_of_near_copies_is_one_class(spark):
+    """20,000 near copies of one text, each with a word of its own."""
+    copy = "array_join(transform(sequence(0, 79), j -> if(j = id % 80, concat('own', id), concat('w', j))), ' ')"
+    docs = spark.range(20_000).selectExpr("id as doc_id", f"{copy} as text").union(spark.range(20_000, 20_100).selectExpr("id", "repeat(concat('x', id, ' y', id, ' z '), 20)"))
+    got = {r["class_id"]: r["n"] for r in near_dup.classes(docs).groupBy("class_id").agg(F.count("*").alias("n")).collect()}
+    assert got.pop(0) == 20_000 and len(got) == 100
+    pairs = spark.range(1, 5001).selectExpr("0L as a", "id as b")
+    texts = docs.select("doc_id", "text").where("doc_id <= 5000")
+    assert near_dup.compared(pairs, texts, 0.8).count() == 5000
+
+
+def test_deduplication_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 8), (2, "a b c d e f", 9, 10), (None, "A b c d e f", 1, 2), (None, "g", 3, 4)], "doc_id long, text string, __row long, kept_id long")
+    assert {tuple(r) for r in near_dup.deduplicated(docs).collect()} == {(1, "a b c d e f", 7, 8), (None, "g", 3, 4)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    roots = {r["node"]: r["root"] for r in near_dup.components(edges).collect()}
+    roots = {r["node"]: r["root"] for r in near_dup.components(edges, Stages(spark, "chain")).collect()}
     assert roots == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
