@@ -4,7 +4,9 @@ Lengths run from 1 to the capacity, so their histogram is small whatever the
 corpus. On it the driver enumerates the patterns of up to three lengths that
 fill a sequence exactly, fits repeat counts to the histogram by non-negative
 least squares, rounds them, and packs what is left best-fit, again pattern by
-pattern. Spark then ranks the pieces inside each length and a piece finds its
+pattern. Where the histogram is thin, rounding costs more than it gains, so the
+plan with fewest sequences is kept: of two ways of rounding, and of best-fit
+alone. Spark then ranks the pieces inside each length and a piece finds its
 sequence from its length and rank alone.
 
 Defined results: a null or empty text is one piece that holds the end id alone;
@@ -78,23 +80,12 @@ def fit(rows: np.ndarray, counts: np.ndarray, steps: int) -> np.ndarray:
     return x
 
 
-def plan(counts: np.ndarray, capacity: int, most: int = 4096) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns [(length, times), ...] with how often each is used; together
-    they hold every piece once."""
+Plan = list[tuple[list[tuple[int, int]], int]]
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> Plan:
+    """Patterns that take, again and again, the longest piece that still fits."""
     left, out = counts.astype(np.int64).copy(), []
-    rows = patterns(capacity, left > 0)
-    if len(rows):
-        x = fit(rows, counts.astype(float), 120)
-        best = np.argsort(-x, kind="stable")[:most]
-        rows = rows[best]
-        x = fit(rows, counts.astype(float), 300)
-        for i in np.argsort(-x, kind="stable"):
-            own = [(int(v), int(n)) for v, n in zip(*np.unique(rows[i][rows[i] > 0], return_counts=True))][::-1]
-            times = min(int(np.floor(x[i] + 0.5)), *(int(left[v]) // n for v, n in own))
-            if times > 0:
-                out.append((own, times))
-                for v, n in own:
-                    left[v] -= n * times
     while left.any():
         gap, own, spare = capacity, [], left.copy()
         while gap:
@@ -113,6 +104,32 @@ def plan(counts: np.ndarray, capacity: int, most: int = 4096) -> list[tuple[list
     return out
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, counts: np.ndarray, capacity: int, up: float) -> Plan:
+    """Repeats of the patterns, rounded and held to the counts; the rest best-fit."""
+    left, out = counts.astype(np.int64).copy(), []
+    for i in np.argsort(-x, kind="stable"):
+        own = [(int(v), int(n)) for v, n in zip(*np.unique(rows[i][rows[i] > 0], return_counts=True))][::-1]
+        times = min(int(np.floor(x[i] + up)), *(int(left[v]) // n for v, n in own))
+        if times > 0:
+            out.append((own, times))
+            for v, n in own:
+                left[v] -= n * times
+    return out + best_fit(left, capacity)
+
+
+def plan(counts: np.ndarray, capacity: int, most: int = 4096) -> Plan:
+    """Patterns [(length, times), ...] with how often each is used; together
+    they hold every piece once. The final fit is of the `most` patterns with most
+    repeats in a first one of all; pieces that they do not reach are packed
+    best-fit, so none is left out."""
+    plans, rows = [best_fit(counts, capacity)], patterns(capacity, counts > 0)
+    if len(rows):
+        rows = rows[np.argsort(-fit(rows, counts.astype(float), 120), kind="stable")[:most]]
+        x = fit(rows, counts.astype(float), 300)
+        plans = [rounded(rows, x, counts, capacity, up) for up in (0.5, 0.0)] + plans
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
 def slots(planned: list[tuple[list[tuple[int, int]], int]], capacity: int) -> np.ndarray:
     """Columns: length * 2**40 + first rank, times in a pattern, first
     sequence, offset; sorted. A few rows for each pattern, at most one for each

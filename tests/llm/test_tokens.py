@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -116,6 +117,51 @@ def test_plans_place_every_count():
         assert (placed == counts).all()
 
 
+def best_fit_decreasing(lengths, capacity):
+    """Sequences of plain best-fit decreasing: each piece where least stays free."""
+    gaps = []
+    for v in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, v)
+        gap = gaps.pop(i) if i < len(gaps) else capacity
+        bisect.insort(gaps, gap - v)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("n", [50, 500, 5000])
+def test_plans_use_no_more_sequences_than_best_fit_decreasing(n):
+    lengths = np.random.default_rng(n).integers(1, 2049, n)
+    used = sum(times for _, times in packing.plan(np.bincount(lengths, minlength=2049), 2048))
+    assert -(-lengths.sum() // 2048) <= used <= best_fit_decreasing(lengths.tolist(), 2048)
+
+
+def brute_sections(text):
+    """n_tokens and n_crossing of every line, token by token from the library."""
+    edges = [0] + [i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text)] + [len(text)]
+    out = [[a, b, 0, 0] for a, b in zip(edges, edges[1:])] if text else [[0, 0, 0, 0]]
+    for a, b in Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).offsets:
+        held = [max(0, min(b, stop) - max(a, start)) for start, stop, *_ in out]
+        home = held.index(max(held))
+        out[home][2] += 1
+        out[home][3] += sum(h > 0 for h in held) > 1
+    return [tuple(x) for x in out]
+
+
+def test_attribution_equals_brute_force(make):
+    rnd = random.Random(11)
+    bits = ["word", " ", "\n", "\n\n\n", "é", "🙂", "  ", "a.b", "<|endoftext|>", "\t\n", "123"]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40)))) for i in range(80)] + [(100, "long line " * 3000 + "\n\n" * 50), (101, None)]
+    got = {}
+    for r in attribution.by_line(make(rows), BYTES).collect():
+        got.setdefault(r["doc_id"], []).append((r["section"], r["start"], r["stop"], r["n_tokens"], r["n_crossing"]))
+    assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: brute_sections(t or "") for k, t in rows}
+
+
+def test_attribution_of_repeated_rows_and_an_empty_table(make):
+    got = attribution.by_line(make([(1, "a\nb")] * 3), BYTES)
+    assert sorted((r["section"], r["n_tokens"]) for r in got.collect()) == [(0, 2)] * 3 + [(1, 1)] * 3
+    assert attribution.by_line(make([(1, "a")]).where("false"), BYTES).count() == 0
+
+
 def test_attribution_adds_up_and_crossing_tokens_follow_the_rule(make):
     rows = [(1, "one two\n\n\nthree"), (2, None), (3, "a\n"), (None, "x\ny"), (4, "")]
     got = attribution.by_line(make(rows), BYTES).collect()
