@@ -1,7 +1,7 @@
 """A training corpus from the table documents, stage by stage.
 
-Language identification drops documents without a language it knows, near
-duplicates leave one document of each class, documents that hold a benchmark
+Language identification drops texts that it rejects and writes the language it
+predicts for the others into lang, near duplicates leave one document of each class, documents that hold a benchmark
 item go, secrets are replaced in the texts, and what is left is packed.
 """
 
@@ -12,15 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, languages, near_dup, packing, secrets
-from skein.llm.common import new_dir, table
+from skein.llm.common import dropped, new_dir, table
 from skein.llm.encoding import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language. Rows are told apart by their text,
-    so that repeated or null ids do not matter: a text is rejected or not."""
+    """Documents in a language that the model knows, with the predicted language as
+    lang. A text is rejected or not, so repeated or null ids do not matter."""
     return languages.recognised(docs)
 
 
@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written to the shared folder and read by the next; a table
+    goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs
