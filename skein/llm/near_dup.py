@@ -176,7 +176,7 @@ def reaches(a: tuple, b: tuple, threshold: float) -> bool:
     return both >= threshold * (a[2] + b[2] - both)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float, stage: Stages) -> DataFrame:
     """The (a, b) of which the weighted Jaccard similarity reaches threshold. A
     hub a is dealt to slices of about SLICE partners, and its text is sent once to
     each; a task keeps the shingles of one hub and meets its partners in turn."""
@@ -196,7 +196,7 @@ def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("many"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "many").alias("slice"))
+    dealt = stage(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "many").alias("slice")), "slices")
     partners = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "slice", "b", "text")
     hubs = dealt.select("a", "slice").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "text")
     met = hubs.union(partners).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
@@ -234,8 +234,9 @@ def pivot_pairs(bands: DataFrame) -> DataFrame:
     degree = bands.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("doc_id")).alias("minus")))
     first = bands.join(degree, "doc_id").groupBy("band").agg(best.alias("best")).select("band", (-F.col("best.minus")).alias("pivot"))
-    pairs = bands.join(first, "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2").select("a", "b")
+    pairs = bands.join(first, "band").where("doc_id <> pivot").select("pivot", F.least("doc_id", "pivot").alias("low"), F.greatest("doc_id", "pivot").alias("high"))
+    pairs = pairs.groupBy("low", "high").agg(F.count("*").alias("shared"), F.min("pivot").alias("a")).where("shared >= 2")
+    return pairs.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
 def sizes(texts: DataFrame) -> DataFrame:
@@ -296,7 +297,7 @@ def links(texts: DataFrame, bands: DataFrame, threshold: float, stage: Stages) -
     them the square of the size of a group of loose copies. Of the bands that a
     pair shares, the first one brings it."""
     pivots = stage(pivot_pairs(bands), "pivots")
-    strong = stage(compared(pivots, texts, threshold), "links")
+    strong = stage(compared(pivots, texts, threshold, stage), "links")
     roots = components(strong, stage)
     rooted = bands.join(roots, bands["doc_id"] == roots["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     rooted = stage(mixed(rooted), "mixed-bands")
@@ -313,7 +314,7 @@ def links(texts: DataFrame, bands: DataFrame, threshold: float, stage: Stages) -
     rest = rest.where((F.size(common) >= 2) & (F.array_min(common) == F.col("band"))).select("a", "b").distinct()
     tried = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    return strong.union(stage(compared(rest, texts, threshold), "links"))
+    return strong.union(stage(compared(rest, texts, threshold, stage), "links"))
 
 
 def found_links(docs: DataFrame, threshold: float, stage: Stages) -> tuple[DataFrame, DataFrame, DataFrame]:

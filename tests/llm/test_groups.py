@@ -98,7 +98,7 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert got.pop(0) == 20_000 and len(got) == 100
     pairs = spark.range(1, 5001).selectExpr("0L as a", "id as b")
     texts = docs.select("doc_id", "text").where("doc_id <= 5000")
-    assert near_dup.compared(pairs, texts, 0.8).count() == 5000
+    assert near_dup.compared(pairs, texts, 0.8, Stages(spark, "pairs")).count() == 5000
 
 
 def test_deduplication_keeps_columns_of_any_name(spark):
