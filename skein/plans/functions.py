@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.arrays import norm
-from skein.functions.text import normalised
+from skein.functions.text import canonical_url, normalised, page_text
 from skein.plans.registry import query
 from skein.sources.tables import table
 
@@ -155,3 +155,15 @@ def txt7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("said", said).groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.expr("listagg(said, '\\n') WITHIN GROUP (ORDER BY turn)").alias("dialogue")
     )
+
+
+@query("""
+    WITH bare AS (
+        SELECT page_id, url, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g') AS b FROM pages
+    ), plain AS (
+        SELECT page_id, url, replace(replace(replace(replace(replace(regexp_replace(b, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS t FROM bare
+    ) SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\\.', '')
+            || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS canonical,
+        trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) AS body FROM plain""")
+def txt5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"), page_text(F.col("html")).alias("body"))

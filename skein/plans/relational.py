@@ -67,12 +67,16 @@ def scan5_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge,
+    SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(12, 2)) * (CAST(1 AS DECIMAL(3, 2)) - CAST(l_discount AS DECIMAL(3, 2)))
+            * (CAST(1 AS DECIMAL(3, 2)) + CAST(l_tax AS DECIMAL(3, 2))), 2) AS DOUBLE) AS charge,
         CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS class
     FROM lineitem""")
 def proj1_computed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money is multiplied as decimals, as halves of a cent are not exact in doubles."""
     size = F.when(F.col("l_quantity") < 10, "small").when(F.col("l_quantity") < 30, "medium").otherwise("large")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(revenue() * (1 + F.col("l_tax")), 2).alias("charge"), size.alias("class"))
+    price, discount, tax = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(3,2)"), F.col("l_tax").cast("decimal(3,2)")
+    charge = F.round(price * (F.lit(1) - discount) * (F.lit(1) + tax), 2).cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", charge.alias("charge"), size.alias("class"))
 
 
 @query("""
@@ -170,6 +174,22 @@ def join5_shuffle_hash_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hinted(spark, sf_dir, "shuffle_hash")
 
 
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def join5_broadcast_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation has 25 rows at every scale."""
+    nations = table(spark, sf_dir, "nation").hint("broadcast")
+    return table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (
+        SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")
+def join8_lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").where(F.col("o_custkey") == F.col("c_custkey").outer())
+    best = own.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
+    return table(spark, sf_dir, "customer").lateralJoin(best).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
 @query("""
     SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (
         SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)""")

@@ -4,6 +4,12 @@ from skein.plans import registry
 from tests.compare import assert_same, connect
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """Large enough for roundings and ties that 6,000 rows do not show."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     return connect(sf)
