@@ -6,6 +6,9 @@ from skein.llm.common import staged
 from tests.llm.test_groups import brute_classes, brute_leaks
 
 
+ITEM = "which of the houses of the lazy dog holds the other animals and some more"
+
+
 def model(rows, items, predicted):
     """doc_id -> text of what the stages before packing should keep."""
     rows = [(k, t) for k, t in rows if predicted[k] != "und"]
@@ -46,10 +49,10 @@ def test_the_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars int"
     words = "the quick brown fox jumps over the lazy dog and the other animals"
     rows = [(i, f"{words} of house {i} {i * 7} {i * 11} and some more of it {i * 13}", "en", "s", 1) for i in range(20)]
-    odd = [(30, None, None, None, None), (31, "", "en", "s", 0), (None, f"{words} somewhere", None, None, 1), (3, rows[3][1], "en", "s", 1), (None, words + " somewhere", "en", "s", 2), (32, "item " + words, "en", "s", 3)]
+    odd = [(30, None, None, None, None), (31, "", "en", "s", 0), (None, f"{words} somewhere", None, None, 1), (3, rows[3][1], "en", "s", 1), (None, words + " somewhere", "en", "s", 2), (32, ITEM, "en", "s", 3)]
     for name, kept in (("odd", rows + odd), ("none", [])):
         spark.createDataFrame(kept, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        spark.createDataFrame([(1, "item " + words)] if kept else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([(1, ITEM)] if kept else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         if not kept:
             assert got == []
