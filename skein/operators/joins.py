@@ -12,35 +12,48 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return ranked.where(F.col("__rank") <= n).drop("__rank")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], slice_seconds: int = 86_400) -> DataFrame:
     """Each left row with the values of the last right row of its key at or
-    before its time; nulls where there is none. Of right rows at one time the
-    largest values win. One shuffle by key: both sides are stacked, and a
-    running last value is carried along time, right rows first at equal times."""
+    before its time; nulls where there is none or a key or the time is null. Of
+    right rows at one time the largest values win.
+
+    Both sides are stacked, and a running last value is carried along time, right
+    rows first at equal times. Time is cut into slices, so that a key with a third
+    of all rows is many tasks; what a slice starts with is the last value of the
+    slices before it, which have one row each."""
     marker = F.struct(*values).alias("__value")
     nothing = F.lit(None).cast(right.select(marker).schema[0].dataType).alias("__value")
     columns = [c for c in left.columns if c not in keys and c != time]
     row = F.struct(*columns).alias("__row")
-    a = left.select(*keys, time, F.lit(1).alias("__side"), row, nothing)
-    b = right.select(*keys, time, F.lit(0).alias("__side"), F.lit(None).cast(left.select(row).schema[0].dataType).alias("__row"), marker)
-    along = Window.partitionBy(*keys).orderBy(time, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("__value", F.last("__value", ignorenulls=True).over(along))
+    no_row = F.lit(None).cast(left.select(row).schema[0].dataType).alias("__row")
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    cut = (micros - F.pmod(micros, F.lit(slice_seconds * 1_000_000))).alias("__slice")
+    a = left.select(*keys, time, cut, F.lit(1).alias("__side"), row, nothing)
+    b = right.dropna(subset=[*keys, time]).select(*keys, time, cut, F.lit(0).alias("__side"), no_row, marker)
+    both = a.unionByName(b)
+    latest = F.max(F.when(F.col("__side") == 0, F.struct(time, "__value"))).alias("__latest")
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = both.groupBy(*keys, "__slice").agg(latest).withColumn("__latest", F.last("__latest", ignorenulls=True).over(before))
+    first = first.select(*keys, F.col(f"__latest.{time}").alias(time), "__slice", F.lit(-1).alias("__side"), no_row, F.col("__latest.__value").alias("__value"))
+    along = Window.partitionBy(*keys, "__slice").orderBy(time, "__side", "__value").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.unionByName(first.where(f"__slice is not null and `{time}` is not null")).withColumn("__value", F.last("__value", ignorenulls=True).over(along))
     return carried.where("__side = 1").select(*keys, time, *(F.col(f"__row.{c}").alias(c) for c in columns), *(F.col(f"__value.{v}").alias(v) for v in values))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, other: str, before: int, after: int) -> DataFrame:
     """Pairs of rows of one key whose times differ by at most `before` seconds
-    back and `after` seconds ahead. Times are cut into buckets as long as the
-    interval, and the right side is dealt to the buckets its interval touches, so
-    a key with a third of all rows is spread over time and not joined whole.
-    left has the column `time`, right the column `other`."""
-    width = max(1, before + after)
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
-    a = left.withColumn("__bucket", F.floor(seconds(time) / width))
-    reach = F.sequence(F.floor((seconds(other) - after) / width), F.floor((seconds(other) + before) / width))
-    b = right.withColumn("__bucket", F.explode(reach))
-    gap = seconds(other) - seconds(time)
-    return a.join(b, [*keys, "__bucket"]).where((gap >= -before) & (gap <= after)).drop("__bucket")
+    back and `after` seconds ahead, compared in whole microseconds. Times are cut
+    into buckets as long as the interval, and the right side is dealt to the
+    buckets its interval touches, so a key with a third of all rows is spread over
+    time and not joined whole. left has the column `time`, right the column `other`."""
+    back, ahead = before * 1_000_000, after * 1_000_000
+    width = max(1_000_000, back + ahead)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = lambda t: t - F.pmod(t, F.lit(width))
+    a = left.withColumn("__bucket", bucket(micros(time)))
+    b = right.withColumn("__bucket", F.explode(F.sequence(bucket(micros(other) - ahead), bucket(micros(other) + back), F.lit(width))))
+    gap = micros(other) - micros(time)
+    return a.join(b, [*keys, "__bucket"]).where((gap >= -back) & (gap <= ahead)).drop("__bucket")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:

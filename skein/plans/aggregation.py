@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators.order import percentiles, ranked, tile
 from skein.plans.registry import query
 from skein.sources.tables import table
 
@@ -66,23 +67,21 @@ def agg3_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_returnflag, median(l_quantity) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, quantile_disc(l_quantity, 0.25) AS q25
     FROM lineitem GROUP BY l_returnflag""")
 def agg4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.median("l_quantity").alias("median"),
-        F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"),
-        F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity)").alias("q25"),
-    )
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    quantity = percentiles(rows, ["l_returnflag"], "l_quantity", 10.0, {"median": (0.5, True), "q25": (0.25, False)})
+    price = percentiles(rows, ["l_returnflag"], "l_extendedprice", 500.0, {"p90": (0.9, True)})
+    return quantity.join(price, "l_returnflag").select("l_returnflag", "median", F.round("p90", 4).alias("p90"), "q25")
 
 
 @query()
 def agg5_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates beside the exact counts; tests hold them to an error bound."""
+    """Estimates only; tests hold them to an error bound."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
         F.approx_count_distinct("l_partkey", 0.02).alias("approx_parts"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", F.lit(14))).alias("hll_parts"),
         F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("theta_parts"),
         F.percentile_approx("l_extendedprice", 0.5, 10000).alias("approx_median"),
-        F.count_distinct("l_partkey").alias("parts"),
-        F.median("l_extendedprice").alias("median"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("l_extendedprice", F.lit(400)), F.lit(0.5)).alias("kll_median"),
     )
 
 
@@ -122,16 +121,15 @@ def agg7_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
         CAST(ntile(4) OVER w AS INTEGER) AS quarter, round(percent_rank() OVER b, 9) AS pr, round(cume_dist() OVER b, 9) AS cd
     FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey), b AS (PARTITION BY p_brand ORDER BY p_size)""")
 def win1_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")
-    tied = Window.partitionBy("p_brand").orderBy("p_size")
-    return table(spark, sf_dir, "part").select(
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    return ranked(rows, ["p_brand"], "p_size", ["p_partkey"], 10.0).select(
         "p_partkey",
-        F.row_number().over(total).alias("rn"),
-        F.rank().over(tied).alias("rk"),
-        F.dense_rank().over(tied).alias("dr"),
-        F.ntile(4).over(total).alias("quarter"),
-        F.round(F.percent_rank().over(tied), 9).alias("pr"),
-        F.round(F.cume_dist().over(tied), 9).alias("cd"),
+        F.col("row_number").cast("int").alias("rn"),
+        F.col("rank").cast("int").alias("rk"),
+        F.col("dense_rank").cast("int").alias("dr"),
+        tile(4).cast("int").alias("quarter"),
+        F.round("percent_rank", 9).alias("pr"),
+        F.round("cume_dist", 9).alias("cd"),
     )
 
 
