@@ -148,6 +148,18 @@ def txt1_normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(digest).alias("texts"))
 
 
+@query("""
+    SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (
+        SELECT doc_id, lang, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM documents)
+    GROUP BY lang, word""")
+def txt1_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are counted in each document first, so that a frequent word is
+    shuffled once for a document and no distinct ids are gathered for it."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    each = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(words).alias("word")).groupBy("doc_id", "lang", "word").agg(F.count("*").alias("n"))
+    return each.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
 @query("""
     SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id""")
 def txt7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,11 @@ def str6_arbitrary_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.running_users(spark, sf_dir)
 
 
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def str6_state_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.first_events(spark, sf_dir)
+
+
 @query("""
     SELECT p.event_id AS event_id, c.event_id AS click_id
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p JOIN (SELECT * FROM events WHERE event_type = 'click') c

@@ -76,3 +76,20 @@ def udf3_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark).udtf.register("skein_lines", Lines)
     return spark.sql("SELECT doc_id, line, chars FROM {d}, LATERAL skein_lines(text)", d=table(spark, sf_dir, "documents"))
+
+
+@query("SELECT event_id, CAST(hour(ts) AS INTEGER) AS hour, round(value * 10, 6) AS scaled FROM events WHERE event_type = 'purchase'")
+def udf3_arrow_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function over Arrow batches of a table argument."""
+
+    @F.arrow_udtf(returnType="event_id long, hour int, value double")
+    class Purchases:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            import pyarrow.compute as pc
+
+            kept = rows.filter(pc.equal(rows["event_type"], "purchase"))
+            hour = pc.cast(pc.hour(kept["ts"]), pa.int32())
+            yield pa.table({"event_id": kept["event_id"], "hour": hour, "value": kept["value"]})
+
+    events = table(ship(spark), sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    return Purchases(events.asTable()).select("event_id", "hour", F.round(F.col("value") * 10, 6).alias("scaled"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.operators.windows import tumbling
@@ -69,6 +70,44 @@ def running_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by("n", "batch").alias("n"), F.max_by("largest", "batch").alias("largest"))
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type, by event id, with one map of state a
+    user. Arbitrary state needs the RocksDB store, which a stream takes from the
+    session when it starts; the session's own setting is put back."""
+    ship(spark)
+
+    class First(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.first = handle.getMapState("first", "event_type string", "event_id long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            for frame in rows:
+                for kind, event in frame.groupby("event_type")["event_id"].min().items():
+                    if not self.first.containsKey((kind,)) or event < self.first.getValue((kind,))[0]:
+                        self.first.updateValue((kind,), (int(event),))
+            kept = [(key[0], kind[0], event[0]) for kind, event in self.first.iterator()]
+            yield pd.DataFrame(kept, columns=["user_id", "event_type", "event_id"])
+
+        def close(self) -> None:
+            pass
+
+    rows = event_stream(spark, sf_dir).select("user_id", "event_type", "event_id")
+    kept = rows.groupBy("user_id").transformWithStateInPandas(First(), "user_id long, event_type string, event_id long", "update", "none")
+    out, before = new_dir(spark, "first-events"), spark.conf.get(PROVIDER, None)
+    write = lambda batch, number: batch.write.mode("append").parquet(out)
+    spark.conf.set(PROVIDER, ROCKS_DB)
+    try:
+        kept.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_dir(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    found = spark.read.schema("user_id long, event_type string, event_id long").parquet(out)
+    return found.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
 def clicks_before_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream-stream join: clicks in the hour before a purchase of the user."""
     events = lambda kind: event_stream(spark, sf_dir).where(F.col("event_type") == kind)
