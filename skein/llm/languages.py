@@ -283,6 +283,8 @@ def recognised(docs: DataFrame) -> DataFrame:
         found = [p for lo, hi in ranges(list(map(len, texts))) for p in model.predict(texts[lo:hi])]
         return pd.Series([p[0] if p[3] else UNKNOWN for p in found], index=column.index, dtype=object)
 
-    predicted = language(F.col("text").cast("string"))
+    # Declared as not deterministic: the filter would else be pushed below the
+    # column and every text parsed twice, in two Python workers to a task.
+    predicted = language.asNondeterministic()(F.col("text").cast("string"))
     marked = docs.select("*", predicted.alias(MARK)).where(F.col(MARK) != UNKNOWN)
     return marked.select(*(F.col(MARK).cast(f.dataType).alias(f.name) if f.name == "lang" else F.col(f"`{f.name}`") for f in docs.schema))
