@@ -48,8 +48,12 @@ def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, total:
     rows = labelled.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = rows.select("lang", "doc_id", F.xxhash64("text").alias("mark"), F.length("text").alias("size")).distinct()
-    order = Window.partitionBy("lang").orderBy(F.col("size") > chars, F.when(F.col("size") > chars, F.col("size")), F.xxhash64("doc_id"), "doc_id", "mark")
-    few = few.withColumn("n", F.row_number().over(order)).where((F.col("n") <= most_docs) & ((F.col("size") <= chars) | (F.col("n") == 1)))
+    order = [F.col("size") > chars, F.when(F.col("size") > chars, F.col("size")), F.xxhash64("doc_id"), "doc_id", "mark"]
+    # The first of each of 32 parts of a language, then the first of all: no task
+    # gets the first of a whole language from every partition.
+    few = few.withColumn("part", F.pmod(F.xxhash64("mark", "doc_id"), F.lit(32)))
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("n") <= most_docs)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where((F.col("n") <= most_docs) & ((F.col("size") <= chars) | (F.col("n") == 1)))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = few.withColumn("before", before).where(F.col("before") < chars).select("lang", "doc_id", "mark", "n", "before")
     found = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "mark"]).select("lang", "n", "before", "text").distinct().collect()
