@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import attribution, decontaminate, languages, near_dup, oracles, packing, private, quality, secrets, token_store, topk
+from skein.llm import attribution, decontaminate, languages, near_dup, oracles, packing, private, quality, quality_rules, secrets, spelling, token_store, topk, vector_codes
 from skein.llm.common import table
 from skein.llm.encoding import vocabulary
 
@@ -51,6 +51,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"), least=7, occurrences=2, times=10, every=31)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_personal_data": op2_personal_data,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": oracles.NEAR_DUPLICATES,
@@ -82,4 +97,7 @@ ORACLE_SQL: dict[str, str] = {
         ), ranked AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM score
         ) SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op11_vector_codes": oracles.vector_codes(parts=8, entries=16, rounds=6, scale=4096),
+    "op12_spelling_variants": oracles.SPELLING,
+    "op13_quality_rules": oracles.QUALITY_RULES,
 }
