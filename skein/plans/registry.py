@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from skein.plans import aggregation, events, functions, relational, streams, udfs  # noqa: E402, F401
+from skein.plans import aggregation, evaluation, events, functions, licences, relational, streams, udfs, vectors  # noqa: E402, F401
