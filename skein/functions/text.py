@@ -11,16 +11,6 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))
 
 
-def page_text(html: Column) -> Column:
-    """The visible text of a page: scripts, styles and comments go, tags become
-    spaces, the five named entities of XML are read, white space is one space."""
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(letter))
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
-
-
 def canonical_url(url: Column) -> Column:
     """Host in lower case without www. or m., and the path without a slash at its
     end: one name for the pages that differ in scheme, query or fragment only."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import html
 from skein.functions.arrays import norm
-from skein.functions.text import canonical_url, normalised, page_text
+from skein.functions.text import canonical_url, normalised
 from skein.plans.registry import query
+from skein.session import ship
 from skein.sources.tables import table
 
 
@@ -169,13 +171,40 @@ def txt7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
+CANONICAL = r"""regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\.', '')
+            || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"""
+#: Character references of the tables; the last one is read last.
+REFERENCES = {"&lt;": "'<'", "&gt;": "'>'", "&quot;": "'\"'", "&apos;": "chr(39)", "&nbsp;": "chr(160)", "&copy;": "chr(169)", "&middot;": "chr(183)", "&amp;": "'&'"}
+BLOCK_TAGS = r"</?(?:article|body|br|div|footer|h1|head|html|li|nav|p|title|ul)\b[^>]*>"
+
+
+def _references(text: str) -> str:
+    for name, letter in REFERENCES.items():
+        text = f"replace({text}, '{name}', {letter})"
+    return text
+
+
+@query(rf"""
     WITH bare AS (
-        SELECT page_id, url, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g') AS b FROM pages
+        SELECT page_id, url, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g') AS b FROM pages
     ), plain AS (
-        SELECT page_id, url, replace(replace(replace(replace(replace(regexp_replace(b, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') AS t FROM bare
-    ) SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\\.', '')
-            || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS canonical,
-        trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) AS body FROM plain""")
+        SELECT page_id, url, {_references(f"regexp_replace(regexp_replace(b, '{BLOCK_TAGS}', ' ', 'g'), '(?s)<[^>]*>', '', 'g')")} AS t FROM bare
+    ) SELECT page_id, {CANONICAL} AS canonical, trim(regexp_replace(t, '[ \t\r\n]+', ' ', 'g')) AS body FROM plain""")
 def txt5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"), page_text(F.col("html")).alias("body"))
+    pages = table(ship(spark), sf_dir, "pages")
+    return pages.select("page_id", canonical_url(F.col("url")).alias("canonical"), html.page_text(F.col("html")).alias("body"))
+
+
+@query(rf"""
+    WITH own AS (
+        SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages
+    ), split AS (
+        SELECT page_id, url, title, string_split_regex(regexp_replace(a, '<br>', ' ', 'g'), '</?(?:h1|p)>') AS parts FROM own
+    ), clean AS (
+        SELECT page_id, url, title, list_filter(list_transform(parts, lambda x: trim(regexp_replace({_references("regexp_replace(x, '</?b>', '', 'g')")}, '[ \t\r\n]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM split
+    ) SELECT page_id, {CANONICAL} AS canonical, trim({_references("title")}) AS title, array_to_string(lines, chr(10)) AS article, CAST(len(lines) AS BIGINT) AS article_blocks FROM clean""")
+def txt5_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles apart from menus, advertisements and footers."""
+    pages = table(spark, sf_dir, "pages").withColumn("canonical", canonical_url(F.col("url")))
+    found = html.articles(pages.withColumn("host", F.substring_index("canonical", "/", 1)), host="host")
+    return found.select("page_id", "canonical", "title", "article", "article_blocks")
