@@ -199,12 +199,12 @@ SPELLING = r"""
     ), w AS (
         SELECT word, CAST(sum(c) AS BIGINT) AS n FROM thin WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
     ), shape AS (
-        SELECT word, n, word AS s FROM w UNION SELECT word, n, word[:i] || word[i + 2:] FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
+        SELECT word, n, -1 AS i, word AS s FROM w UNION ALL SELECT word, n, i, word[:i] || word[i + 2:] FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
     ), met AS (
-        SELECT DISTINCT a.word AS word, a.n AS n, b.word AS other, b.n AS m FROM shape a JOIN shape b ON a.s = b.s AND a.word <> b.word
+        SELECT DISTINCT a.word AS word, a.n AS n, b.word AS other, b.n AS m FROM shape a JOIN shape b ON a.s = b.s AND a.word <> b.word AND (a.i = b.i OR a.i = -1 OR b.i = -1)
     ), near AS (
         SELECT word, count(*) AS n_near, arg_min(other, {'m': -m, 'other': other}) FILTER (WHERE m >= 10 * n) AS form, max(m) FILTER (WHERE m >= 10 * n) AS form_n
-        FROM met WHERE levenshtein(word, other) = 1 GROUP BY word
+        FROM met GROUP BY word
     ), step(word, spot) AS (
         SELECT word, word FROM w UNION SELECT step.word, near.form FROM step JOIN near ON step.spot = near.word WHERE near.form IS NOT NULL
     ), ends AS (
