@@ -62,3 +62,49 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     a = points.withColumn("__bucket", F.floor(F.col(value) / width))
     b = ranges.where(F.col(low) < F.col(high)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return a.join(b, "__bucket").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__bucket")
+
+
+def ranges_of(value: Column, edges: list[float]) -> Column:
+    """The range of a value between sorted edges. A value that stands for several
+    edges, as one that many rows have does, is dealt to all ranges that it touches."""
+    marks = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+    low, high = F.size(F.filter(marks, lambda e: e < value)), F.size(F.filter(marks, lambda e: e <= value))
+    return (low + F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), high - low + 1)).cast("int")
+
+
+def quantile_edges(df: DataFrame, value: str, ranges: int) -> list[float]:
+    """About equal numbers of rows between the edges; no row comes to the driver."""
+    if ranges < 2:
+        return []
+    at = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(50 * ranges))
+    return sorted(df.agg(at.alias("e")).head()["e"] or [])
+
+
+def regions(left: DataFrame, right: DataFrame, low: str, high: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to the regions (__i, __j) of the join matrix in which low < high
+    is possible. The matrix is cut at quantiles of both sides so that a region has about
+    `rows` rows of each; a row goes to the regions of its row or column that are not empty."""
+    sides = [left.where(F.col(low).isNotNull()), right.where(F.col(high).isNotNull())]
+    cuts = [quantile_edges(df, c, -(-df.count() // rows)) for df, c in zip(sides, (low, high))]
+    # The least value of a range of the left, and the largest of one of the right.
+    least, most = [float("-inf"), *cuts[0]], [*cuts[1], float("inf")]
+    beyond = lambda c: F.col(c).cast("double")
+    # Values of the left grow along i, those of the right along j: what is empty lies below.
+    first_j = [next((j for j, m in enumerate(most) if m > v), len(most)) for v in least]
+    last_i = [max((i for i, v in enumerate(least) if v < m), default=-1) for m in most]
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
+    a = sides[0].withColumn("__i", ranges_of(beyond(low), cuts[0]))
+    b = sides[1].withColumn("__j", ranges_of(beyond(high), cuts[1]))
+    some_j, some_i = pick(first_j, F.col("__i")), pick(last_i, F.col("__j"))
+    a = a.where(some_j < len(most)).withColumn("__j", F.explode(F.sequence(some_j, F.lit(len(most) - 1))))
+    b = b.where(some_i >= 0).withColumn("__i", F.explode(F.sequence(F.lit(0), some_i)))
+    return a, b
+
+
+def theta_join(left: DataFrame, right: DataFrame, keys: list[str], low: str, high: str, rows: int = 100_000) -> DataFrame:
+    """Pairs with equal keys and low < high, where `low` is a numeric column of the left and
+    `high` one of the right (Okcan and Riedewald 2011). Every pair is made in one region, and a
+    task takes a bounded number of rows however many share a key or a value. Rows with
+    a null key or value have no pairs; the keys appear once."""
+    a, b = regions(left, right, low, high, rows)
+    return a.join(b, ["__i", "__j", *keys]).where(F.col(low) < F.col(high)).drop("__i", "__j")

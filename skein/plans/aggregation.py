@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators.order import percentiles, ranked, tile
+from skein.operators.slices import over_slices
 from skein.plans.registry import query
 from skein.sources.tables import table
 
@@ -139,16 +140,12 @@ def win1_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
         nth_value(p_partkey, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
     FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)""")
 def win2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey",
-        F.lag("p_size", 1, -1).over(w).alias("before"),
-        F.lead("p_size", 2).over(w).alias("after"),
-        F.first("p_partkey").over(w).alias("first"),
-        F.last("p_partkey").over(whole).alias("last"),
-        F.nth_value("p_partkey", 2).over(whole).alias("second"),
-    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    found = over_slices(
+        rows, ["p_brand"], [F.asc("p_size"), F.asc("p_partkey")],
+        lag={"before": ("p_size", 1, -1)}, lead={"after": ("p_size", 2, None)}, first={"first": "p_partkey"}, last={"last": "p_partkey"}, nth={"second": ("p_partkey", 2)},
+    )
+    return found.select("p_partkey", "before", "after", "first", "last", "second")
 
 
 @query("""
