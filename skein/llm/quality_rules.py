@@ -33,13 +33,13 @@ BROADCAST = 10_000
 #: Character classes that are counted; the last bin has all others, letters without
 #: a case among them.
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "space": r"\x20\x09-\x0D", "mark": r"\p{P}", "sign": r"\p{S}"}
-SPACE = r"\x20\x09-\x0D"
+SPACE = r"\x20\x09-\x0D"  # in Java's expressions \s is the same
 #: Bits of a packed window that hold its place in the text.
 PLACE = 24
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda x: x != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def sum_of(array: Column, zero: Column) -> Column:
@@ -49,7 +49,7 @@ def sum_of(array: Column, zero: Column) -> Column:
 def common_words(docs: DataFrame, common: int, least: int) -> DataFrame:
     """(lang, words, shares) for each language of at least so many words; lang null:
     all documents. shares[0] is the share of all other words."""
-    counts = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = docs.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     every = F.lit(None).cast("string")
     both = counts.select(F.explode(F.when(F.col("lang").isNull(), F.array(every)).otherwise(F.array("lang", every))).alias("lang"), "word", "n")
     total = staged(both.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
@@ -84,7 +84,8 @@ def with_repeated_places(docs: DataFrame) -> DataFrame:
     p, place = F.col("p"), lambda x: x.bitwiseAND(low).cast("int")
     equal = lambda x, y: F.coalesce(F.shiftright(x, PLACE) == F.shiftright(y, PLACE), F.lit(False))
     near = F.filter("p", lambda x, i: equal(x, F.get(p, i - 1)) | equal(x, F.get(p, i + 1)))
-    df = df.withColumn("near", near)
+    once = F.size(F.array_distinct(F.transform("p", lambda x: F.shiftright(x, PLACE)))) == F.size("p")
+    df = df.withColumn("near", F.when(once, F.array().cast("array<bigint>")).otherwise(near))
     q = F.col("near")
     differ = F.exists(F.sequence(F.lit(1), F.greatest(F.size("near"), F.lit(2)) - 1), lambda k: equal(F.get(q, k), F.get(q, k - 1)) & (window(place(F.get(q, k))) != window(place(F.get(q, k - 1)))))
     whole = (F.size("w") > low) | differ
