@@ -43,12 +43,14 @@ def either_case(words: str) -> str:
 @dataclass(frozen=True)
 class Rule:
     """full: the rule as an expression; span: the same with open counts as +,
-    what the automaton reads; valid: which matches count."""
+    what the automaton reads; valid: which matches count; hopeless: up to where in a
+    match that does not count no other one that counts can begin."""
 
     kind: str
     full: str
     span: str
     valid: Callable[[str], bool] = lambda m: True
+    hopeless: Callable[[str], int] = lambda m: 0
 
 
 def value_of(match: str) -> str:
@@ -72,7 +74,7 @@ RULES = [
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]+", longer(5, 10)),
     Rule("google", "AIza[A-Za-z0-9_-]{35,}", "AIza[A-Za-z0-9_-]+", longer(4, 35)),
     Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", "[rs]k_live_[A-Za-z0-9]+", longer(8, 16)),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+)?", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)?", lambda m: min(map(len, m.split(".")[:2])) >= 11),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+)?", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+(?:\\.[A-Za-z0-9_-]+)?", lambda m: min(map(len, m.split(".")[:2])) >= 11, lambda m: m.index(".") if len(m.split(".")[1]) < 11 else 0),
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 BASE = 3
@@ -129,11 +131,11 @@ class Scanner:
                 if p < after[n]:
                     continue
                 end = self.ends.end(data, p, n)
-                good = RULES[n].valid(data[p:end].decode("ascii"))
+                match = data[p:end].decode("ascii")
+                good = RULES[n].valid(match)
                 if good:
                     found.append((p, n, end))
-                if good or n < BASE:
-                    after[n] = end
+                after[n] = end if good or n < BASE else p + RULES[n].hopeless(match)
         return found
 
 

@@ -35,6 +35,22 @@ def test_a_long_text_of_secrets():
     assert time.time() - began < 20
 
 
+def test_failing_matches_of_retried_rules_take_linear_time():
+    n = 150_000
+    texts = ["eyJ" * n + ".eyJab ", ("eyJ" * n + ".eyJab.") * 2, "eyJa." * n, "eyJ" + "." * n + "eyJ" * n, "eyJ.eyJ" * n, "xoxb-" * n, "xoxb-a " * n, "ghp_" * n, "AIza" * n + "!", "AIza-" * n, "sk_live_" * n, "-----BEGIN " * n, "-----BEGIN PRIVATE KEY----" * n]
+    scanner = secrets.Scanner(*secrets.compiled())
+    for text in texts:
+        began = time.time()
+        found = scanner.spans([text])
+        assert time.time() - began < 20, text[:20]
+        if "eyJ" * 9 not in text:  # the expression itself takes square time there
+            assert found == [brute_secrets(text)]
+    rnd = random.Random(9)
+    pieces = ["eyJ", "eyJ", ".", ".", "a", "b" * 8, "_-", " "]
+    made = ["".join(rnd.choices(pieces, k=rnd.randint(1, 25))) for _ in range(4000)]
+    assert scanner.spans(made) == [brute_secrets(t) for t in made]
+
+
 @pytest.mark.parametrize("pattern", ["ab*c", "a(?:b|cd){2,3}e", "x[^yz]+z", "a?b?c", "q{3,}"])
 def test_small_automata(pattern):
     back, forward = automaton.build([pattern], backward=True), automaton.Anchored(automaton.build([pattern], anchored=True))
