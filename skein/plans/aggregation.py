@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators import sketches
 from skein.operators.order import percentiles, ranked, tile
 from skein.operators.slices import over_slices
 from skein.plans.registry import query
@@ -86,6 +87,58 @@ def agg5_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _daily(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events with their day, and the stored sketches of each day and type."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "event_type", "user_id", "value")
+    return events, sketches.stored(sketches.sketched(events, ["day", "event_type"], "user_id", "value"), ["day"])
+
+
+@query("""
+    SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS hll_holds, true AS theta_holds, true AS ranks_hold
+    FROM events GROUP BY event_type""")
+def agg5_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of days merged to the whole time, held against exact counts: distinct users
+    within the error, and the ranks of the merged quantiles."""
+    events, daily = _daily(spark, sf_dir)
+    whole = sketches.merged(daily, ["event_type"])
+    marks = {f"q{int(100 * f)}": f for f in (0.1, 0.5, 0.9)}
+    estimated = whole.select("event_type", sketches.distinct(F.col("hll")).alias("hll_users"), F.theta_sketch_estimate("theta").alias("theta_users"), *[sketches.quantile(F.col("kll"), f).alias(q) for q, f in marks.items()])
+    joined = events.join(estimated, "event_type")  # a row for each of few types: Spark sees its size
+    ranks = [(F.sum((F.col("value") <= F.col(q)).cast("long")) / F.count("*")).alias(f"r_{q}") for q in marks]
+    users = events.groupBy("event_type", "user_id").agg(F.lit(1)).groupBy("event_type").agg(F.count("*").alias("users"))
+    exact = joined.groupBy("event_type").agg(F.count("*").alias("rows"), F.first("hll_users").alias("hll_users"), F.first("theta_users").alias("theta_users"), *ranks).join(users, "event_type")
+    near = F.lit(True)
+    for q, f in marks.items():
+        near = near & (F.abs(F.col(f"r_{q}") - f) <= sketches.KLL_ERROR)
+    return exact.select(
+        "event_type", "rows", "users",
+        sketches.within(F.col("hll_users"), F.col("users"), sketches.HLL_ERROR).alias("hll_holds"),
+        sketches.within(F.col("theta_users"), F.col("users"), sketches.THETA_ERROR).alias("theta_holds"),
+        near.alias("ranks_hold"),
+    )
+
+
+@query("""
+    WITH half AS (
+        SELECT DISTINCT event_type, user_id, CAST(ts AS DATE) < (SELECT CAST(min(ts) AS DATE) + 15 FROM events) AS early FROM events
+    ), users AS (
+        SELECT event_type, user_id, bool_or(early) AS a, bool_or(NOT early) AS b FROM half GROUP BY ALL
+    ) SELECT event_type, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only, true AS both_hold, true AS first_only_holds
+    FROM users GROUP BY event_type""")
+def agg5_common_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of both halves of the time, and of the first alone, from stored days."""
+    events, daily = _daily(spark, sf_dir)
+    start = events.agg(F.min("day").alias("d")).head()["d"]
+    early = (F.col("day") < F.date_add(F.lit(start), 15)).alias("early")
+    side = lambda flag, name: sketches.merged(daily.where(early == flag), ["event_type"]).select("event_type", F.col("theta").alias(name))
+    estimated = side(True, "a").join(side(False, "b"), "event_type").select("event_type", sketches.common(F.col("a"), F.col("b")).alias("e_both"), sketches.only_first(F.col("a"), F.col("b")).alias("e_first"))
+    users = events.groupBy("event_type", "user_id").agg(F.bool_or(early).alias("a"), F.bool_or(~early).alias("b"))
+    exact = users.groupBy("event_type").agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("first_only"), F.count("*").alias("n"))
+    # The error of an intersection is one of the union's size.
+    holds = lambda e, x: F.abs(F.col(e) - F.col(x)) <= F.greatest(F.col("n") * sketches.THETA_ERROR, F.lit(1.0))
+    return exact.join(estimated, "event_type").select("event_type", "both", "first_only", holds("e_both", "both").alias("both_hold"), holds("e_first", "first_only").alias("first_only_holds"))
+
+
 @query("""
     SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, list_sort(list(n_nationkey)) AS keys, arg_max(n_name, n_nationkey) AS last_name,
         bool_and(n_nationkey >= 0) AS all_positive, CAST(count_if(n_nationkey > 10) AS BIGINT) AS high

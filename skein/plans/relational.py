@@ -52,6 +52,15 @@ def scan3_partition_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
+@query("""
+    SELECT c_custkey, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'""")
+def scan3_dynamic_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored by nation: the join names the nations, and only their folders are read."""
+    stored = formats.partitioned(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_nationkey"])
+    asia = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return stored.join(asia, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_acctbal", "n_name")
+
+
 @query()
 def scan4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7)

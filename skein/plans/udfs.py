@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.aggregates import Moments, two_phase
 from skein.plans.registry import query
 from skein.session import ship
 from skein.sources.tables import table
@@ -43,6 +44,17 @@ def udf2_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(ship(spark), sf_dir, "events").groupBy("user_id").agg(spread("value").alias("spread")).select("user_id", F.round("spread", 6).alias("spread"))
 
 
+@query("""
+    WITH m AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY event_type)
+    SELECT event_type, count(*) AS n, round(any_value(mean), 6) AS mean, round(var_pop(value), 6) AS variance,
+        round(avg(pow(value - mean, 3)) / pow(var_pop(value), 1.5), 6) AS skewness, round(avg(pow(value - mean, 4)) / pow(var_pop(value), 2) - 3, 6) AS kurtosis
+    FROM events JOIN m USING (event_type) GROUP BY event_type""")
+def udf2_two_phase_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate in Python whose states, and not its rows, are shuffled."""
+    found = two_phase(table(spark, sf_dir, "events"), ["event_type"], "value", Moments())
+    return found.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "skewness", "kurtosis")])
+
+
 @query("""
     SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS BIGINT) AS place FROM events""")
 def udf2_apply_in_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,19 +23,24 @@ from skein.streaming.replay import replayed
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 SESSION = "user_id long, start long, stop long, n long"
 
 
 @contextmanager
-def rocks_db(spark: SparkSession) -> Iterator[None]:
-    """Timers and lives need the RocksDB store, which a stream takes from the session
-    when it starts; the session's own setting is put back."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS_DB)
+def rocks_db(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Timers and lives need the RocksDB store, which a stream takes from the session when it
+    starts; the session's own settings are put back. A stream on processing time that runs
+    over what is there must not run batches while idle, as it would never end."""
+    wanted = {PROVIDER: ROCKS_DB} | ({} if idle else {IDLE: "false"})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def session_processor(gap_micros: int) -> StatefulProcessor:

@@ -52,7 +52,7 @@ def test_keys_are_forgotten_after_their_time_to_live(spark):
     df = spark.createDataFrame([(k, b) for b in range(3) for k in (1, 2)] + [(3, 2)], "k long, b int")
     seen = {}
     for live in (1, 3_600_000):
-        with expiry.rocks_db(spark):
+        with expiry.rocks_db(spark, idle=False):
             out, _ = replay.replayed(df, F.col("b"), lambda s, live=live: expiry.first_seen(s, "k", live))
         seen[live] = sorted((r["k"], r["batch"]) for r in out.collect())
     assert seen[1] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 2)]
