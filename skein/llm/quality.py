@@ -9,7 +9,9 @@ word it has met and adds them up over the whole text.
 
 Defined results: a null, empty or blank text gets the score of the bias alone;
 labels that are null or belong to no document do not count; without labels every
-score is 0.5; null doc_ids and repeated rows are kept and scored.
+score is 0.5; null doc_ids and repeated rows are kept and scored, and an id of several
+texts is learned from once, by the smallest; a very long text is scored whole; an
+empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import documents, hold, ship, slices
@@ -101,15 +103,20 @@ def fit(rows: list[tuple[str, int]], size: int = 8, epochs: int = 8, rate: float
     return Model((vectors @ (output[1] - output[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = 4000) -> Model:
-    """Fit on at most most_rows labelled documents, the first by a hash of the
-    id; the bound holds however many labels there are. Labels of absent documents
-    use up none of it."""
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most_rows: int = 4000, most_bytes: int = 64_000_000) -> Model:
+    """Fit on at most most_rows labelled documents, the first by a hash of the id, whose
+    texts have at most most_bytes together; both bounds hold however many labels, rows of an
+    id or long texts there are. Of rows that share an id the smallest text is taken.
+    Labels of absent documents use up none of the bounds."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(column) > 0).cast("int").alias("y"))
     known = known.join(documents(docs).select("doc_id"), "doc_id", "left_semi")
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    found = documents(docs).join(F.broadcast(chosen), "doc_id").collect()
-    rows = [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
+    texts = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    # The window runs over most_rows rows at most, and over their lengths only.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    within = texts.select("doc_id", F.octet_length("text").alias("n")).withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= most_bytes).select("doc_id")
+    found = texts.join(F.broadcast(within), "doc_id", "left_semi").collect()
+    rows = [(r["text"], r["y"]) for r in sorted(found, key=lambda r: r["doc_id"])]
     return fit(rows) if rows else Model(np.zeros(BUCKETS), 0.0)
 
 

@@ -140,3 +140,47 @@ def test_top_k_with_clashing_columns_and_many_ties(spark):
         want = [i for i in np.lexsort((np.arange(9000), -score))[:6] if i != q][:5]
         assert [got[q][r + 1] for r in range(5)] == [(i, score[i]) for i in want]
     assert len(got) == 30
+
+
+def test_training_is_bounded_in_rows_of_an_id_and_in_bytes(make, spark):
+    texts = [(k, "good fine words" if k % 2 else "bad poor junk") for k in range(20)]
+    docs = make(texts + [(3, "zzz other") for _ in range(500)] + [(50, "x " * 100_000)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 0), (50, 1)], "doc_id long, quality int")
+    rows = [(t, y % 2) for y, t in texts]
+    model = quality.train(docs, labels.where("doc_id < 50"))
+    assert np.array_equal(model.share, quality.fit(rows).share)
+    # The long text takes all bytes at its place in the order: what comes before it stays.
+    order = [r["doc_id"] for r in labels.select("doc_id").distinct().selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").collect()]
+    before = sorted(order[: order.index(50)])
+    bounded = quality.train(docs, labels, most_bytes=100_000)
+    assert np.array_equal(bounded.share, quality.fit([rows[k] for k in before]).share if before else np.zeros(quality.BUCKETS))
+    assert np.array_equal(quality.train(docs, labels, most_bytes=0).share, np.zeros(quality.BUCKETS))
+
+
+def test_scores_of_a_table_equal_the_model_applied_to_each_text(make, spark):
+    rnd = np.random.default_rng(4)
+    words = ["good", "fine", "bad", "poor", "été", "x" * 40, "***"]
+    rows = [(k, " ".join(rnd.choice(words, rnd.integers(0, 12)))) for k in range(60)] + [(60, None), (61, ""), (None, "good bad"), (5, "good poor"), (62, "long words " * 60_000)]
+    labels = [(k, int("good" in t and "bad" not in t)) for k, t in rows[:60]] + [(61, 0), (99, 1), (4, None)]
+    got = quality.classify(make(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    learned = {}
+    for k, y in labels:
+        if y is not None and k != 99 and zlib.crc32(str(k).encode()) % 5:
+            learned[k] = max(y, learned.get(k, 0))
+    smallest = {}
+    for k, t in rows:
+        if k is not None:
+            smallest[k] = min(t or "", smallest.get(k, t or ""))
+    model = quality.fit([(smallest[k], learned[k]) for k in sorted(learned)])
+
+    def direct(text):
+        own = (text or "").split()
+        if not own:
+            return 1 / (1 + np.exp(-model.bias))
+        buckets, weight = quality.bag(text)
+        return 1 / (1 + np.exp(-(model.share[buckets] @ weight + model.bias)))
+
+    want = sorted((str(k), round(float(direct(t)), 9)) for k, t in rows)
+    assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in got) == want
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
