@@ -75,6 +75,21 @@ def scan5_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("day", F.dayofyear("day").alias("day_of_year"))
 
 
+@query("""
+    SELECT CAST(d AS DATE) AS day, count(event_id) AS events
+    FROM generate_series((SELECT date_trunc('week', min(ts)) FROM events), (SELECT max(ts) FROM events), INTERVAL 1 DAY) g(d)
+    LEFT JOIN (SELECT *, CAST(ts AS DATE) AS on_day FROM events WHERE event_type = 'signup' AND user_id % 30 = 0) e ON on_day = CAST(d AS DATE) GROUP BY d""")
+def scan5_calendar_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users' signups on each day of the table's time, days without any included: the
+    days come from the custom source, from the Monday before the first event on."""
+    events = table(spark, sf_dir, "events")
+    edges = events.agg(F.date_trunc("week", F.min("ts")).cast("date").alias("a"), F.max("ts").cast("date").alias("b")).head()
+    spark.dataSource.register(calendar_source())
+    days = spark.read.format("calendar").options(start=str(edges["a"]), stop=str(edges["b"]), slices="4").load()
+    counts = events.where("event_type = 'signup' and user_id % 30 = 0").groupBy(F.col("ts").cast("date").alias("on_day")).agg(F.count("*").alias("n"))
+    return days.join(counts, F.col("day") == F.col("on_day"), "left").select("day", F.coalesce("n", F.lit(0).cast("long")).alias("events"))
+
+
 @query("""
     SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(12, 2)) * (CAST(1 AS DECIMAL(3, 2)) - CAST(l_discount AS DECIMAL(3, 2)))
             * (CAST(1 AS DECIMAL(3, 2)) + CAST(l_tax AS DECIMAL(3, 2))), 2) AS DOUBLE) AS charge,
