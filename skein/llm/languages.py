@@ -1,7 +1,7 @@
 """Language identification by cross-parsing against labelled text.
 
 For each language a suffix automaton of a bounded sample of its labelled text is
-laid out as a transition table. A text is parsed greedily into the longest
+laid out as transition arrays. A text is parsed greedily into the longest
 pieces that occur in the sample; a language whose sample covers the text in few
 phrases is close to it. Phrases times the logarithm of the sample's length, by
 the text's length, estimate the cross entropy, and the lowest wins.
@@ -14,8 +14,9 @@ where both parses meet in one state. So the phrases are those of the whole text.
 Defined results: a null text or one without letters is `und` with score 0; the
 score is h2 / (h1 + h2) for the two lowest entropies, 1 where one language is
 known; ties go to the first language in order; nothing to learn from makes every
-text `und`; null doc_ids and repeated rows are kept; columns other than those
-named do not matter.
+text `und`; null doc_ids and repeated rows are kept; an empty table gives no rows;
+texts of any length are parsed whole; columns other than doc_id, text and lang
+do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, hold, ranges, ship, slices
+from skein.llm.common import Stages, documents, hold, ranges, ship, slices
 
 UNKNOWN = "und"
 LANE = 512
@@ -38,15 +39,21 @@ PREDICTED = "doc_id long, lang_pred string, score double, entropy double, known
 Sample = tuple[tuple[str, str], ...]
 
 
-def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, total: int = 200_000) -> Sample:
+def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, total: int = 200_000, most_languages: int = 1_000) -> Sample:
     """(language, text) in order of language: the bounded sample that the model is
-    fitted on. Every language is learned. Its documents that hold a letter are
-    taken whole, in order of a hash of their ids, until the text has `chars`
-    characters or most_docs documents. Longer documents than `chars` are passed
-    over; a language that has no others is learned from its shortest. With more than total / chars languages, each has as many
-    characters fewer. Only the chosen texts reach the driver."""
-    rows = labelled.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
+    fitted on. Of more than most_languages languages, those with most labelled rows
+    are learned (ties in order of name). The documents of a language that hold a
+    letter are taken whole, in order of a hash of their ids, until the text has
+    `chars` characters or most_docs documents. Longer documents than `chars` are
+    passed over; a language that has no others is learned from its shortest, of
+    which at most total characters are taken. With more than total / chars languages
+    each has at most its even part of total. All is cut before the chosen texts are collected, so at
+    most most_languages * most_docs names and about total + total * total / chars
+    characters reach the driver, however many labels and however long texts are."""
+    rows = labelled.where("lang is not null and doc_id is not null")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    common = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages).select("lang")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).join(F.broadcast(common), "lang", "left_semi")
     few = rows.select("lang", "doc_id", F.xxhash64("text").alias("mark"), F.length("text").alias("size")).distinct()
     order = [F.col("size") > chars, F.when(F.col("size") > chars, F.col("size")), F.xxhash64("doc_id"), "doc_id", "mark"]
     # The first of each of 32 parts of a language, then the first of all: no task
@@ -56,12 +63,17 @@ def sample(labelled: DataFrame, chars: int = 20_000, most_docs: int = 64, total:
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where((F.col("n") <= most_docs) & ((F.col("size") <= chars) | (F.col("n") == 1)))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = few.withColumn("before", before).where(F.col("before") < chars).select("lang", "doc_id", "mark", "n", "before")
-    found = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "mark"]).select("lang", "n", "before", "text").distinct().collect()
-    own = min(chars, total // max(1, len({r["lang"] for r in found})))
+    with Stages(labelled.sparkSession, "language-sample") as stage:
+        few = stage(few, "chosen")
+        known = few.agg(F.count_distinct("lang")).first()[0]
+        own = min(chars, total // max(1, known))
+        room = F.lit(total) if own == chars else F.lit(own) - F.col("before")
+        few = few.where(F.col("before") < own).withColumn("room", room.cast("int"))
+        found = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(few), ["lang", "doc_id", "mark"])
+        found = found.select("lang", "n", F.substring(F.col("text"), F.lit(1), F.col("room")).alias("text")).distinct().collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["n"])):
-        if r["before"] < own:
-            texts.setdefault(r["lang"], []).append(r["text"])
+        texts.setdefault(r["lang"], []).append(r["text"])
     return tuple((k, "\n".join(v)) for k, v in texts.items())
 
 
@@ -99,18 +111,79 @@ class SuffixAutomaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def table(self, symbols: int) -> np.ndarray:
-        """(state, symbol) -> next state times symbols, or the complement of
-        where a new phrase that begins with the symbol leads. The last state
-        has no way on: texts begin there, and unknown symbols lead there."""
-        root = np.full(symbols, len(self.next) * symbols, np.int32)
-        for c, to in self.next[0].items():
-            root[c] = to * symbols
-        out = np.tile(~root, (len(self.next) + 1, 1))
-        for s, edges in enumerate(self.next):
-            for c, to in edges.items():
-                out[s, c] = to * symbols
-        return out.ravel()
+
+class Dense:
+    """Transitions as a matrix of states and symbols; states count in its rows,
+    so a state is the place where its row begins."""
+
+    def __init__(self, edges: list[dict[int, int]], symbols: int):
+        self.start = len(edges) * symbols
+        again = np.full(symbols, self.start, np.int32)
+        for c, to in edges[0].items():
+            again[c] = to * symbols
+        table = np.tile(~again, (len(edges) + 1, 1))
+        for s, row in enumerate(edges):
+            for c, to in row.items():
+                table[s, c] = to * symbols
+        self.table = table.ravel()
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = self.table[state + column]
+        failed = to >> 31
+        return to ^ failed, failed
+
+
+class Displaced:
+    """Transitions as rows of few edges, laid over each other in one array where
+    they leave places free, so its size goes with the edges and not with the
+    number of symbols. An edge is known by its owner."""
+
+    def __init__(self, edges: list[dict[int, int]], symbols: int):
+        self.start = len(edges)
+        self.again = np.full(symbols, self.start, np.int32)
+        self.again[list(edges[0])] = list(edges[0].values())
+        room = 2 * sum(map(len, edges)) + 2 * symbols
+        self.owner, self.to = np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        self.base = np.zeros(len(edges) + 1, np.int32)
+        rng, order = np.random.default_rng(0), sorted(range(len(edges)), key=lambda s: -len(edges[s]))
+        for s in order:
+            if len(edges[s]) < 2:
+                break
+            self._lay(s, self._place(np.fromiter(edges[s], np.int64), rng, symbols), edges[s])
+        ones = [s for s in order if len(edges[s]) == 1]
+        for s, free in zip(ones, np.flatnonzero(self.owner[symbols:] < 0) + symbols):
+            self._lay(s, int(free) - next(iter(edges[s])), edges[s])
+
+    def _place(self, codes: np.ndarray, rng: np.random.Generator, symbols: int) -> int:
+        """A random beginning whose places are all free; where none is found, the
+        array is doubled."""
+        while True:
+            for _ in range(16):
+                tried = rng.integers(0, len(self.owner) - symbols, 64)
+                good = (self.owner[tried[:, None] + codes] < 0).all(axis=1)
+                if good.any():
+                    return int(tried[good.argmax()])
+            self.owner = np.concatenate([self.owner, np.full(len(self.owner), -1, np.int32)])
+            self.to = np.concatenate([self.to, np.zeros(len(self.to), np.int32)])
+
+    def _lay(self, s: int, at: int, row: dict[int, int]) -> None:
+        for c, to in row.items():
+            self.owner[at + c], self.to[at + c] = s, to
+        self.base[s] = at
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.base[state] + column
+        good = self.owner[at] == state
+        return np.where(good, self.to[at], self.again[column]), good.astype(np.int32) - 1
+
+
+def transitions(edges: list[dict[int, int]], symbols: int, most: int = 1 << 22) -> Dense | Displaced:
+    """Each state's edges as arrays that many texts step through at once. `step`
+    gives the next states and -1 where a new phrase begins with the symbol. From
+    `start` no symbol leads on: texts begin there, and unknown symbols lead
+    there. A matrix of at most `most` entries (16 MB) is faster than rows laid
+    over each other; both give the same states."""
+    return (Dense if (len(edges) + 1) * symbols <= most else Displaced)(edges, symbols)
 
 
 class Parser:
@@ -120,7 +193,7 @@ class Parser:
         self.languages = [k for k, _ in learned]
         letters = sorted({c for _, t in learned for c in t.lower() if c.isalpha()})
         self.symbols = len(letters) + 2
-        self.code = np.zeros(0x110000, np.uint16)
+        self.code = np.zeros(0x110000, np.uint16 if self.symbols < 1 << 16 else np.int32)
         for i in range(0x110000):
             if chr(i).isalpha():
                 self.code[i] = self.symbols - 1
@@ -129,7 +202,7 @@ class Parser:
         self.tables, self.bits = [], []
         for _, t in learned:
             codes = self.codes([t])[0]
-            self.tables.append(SuffixAutomaton(codes.tolist()).table(self.symbols))
+            self.tables.append(transitions(SuffixAutomaton(codes.tolist()).next, self.symbols))
             self.bits.append(np.log2(max(2, len(codes))))
         self.foreign = np.full(len(learned), np.inf)
         if len(learned) > 1:
@@ -166,17 +239,15 @@ class Parser:
         state = np.empty((len(self.tables), len(owner)), np.int32)
         made = np.zeros((len(self.tables), len(owner)), np.int32)
         for k, table in enumerate(self.tables):
-            state[k] = len(table) - self.symbols
+            state[k] = table.start
         for j, n in enumerate(live):
             column = codes[first[:n] + j]
             for k, table in enumerate(self.tables):
-                to = table[state[k, :n] + column]
-                failed = to >> 31
+                state[k, :n], failed = table.step(state[k, :n], column)
                 made[k, :n] -= failed
-                state[k, :n] = to ^ failed
         back = np.argsort(order, kind="stable")
         for k, table in enumerate(self.tables):
-            counts[k] = np.bincount(owner, carried(table, len(table) - self.symbols, codes, inside, starts, lengths, state[k, back], made[k, back]), len(texts))
+            counts[k] = np.bincount(owner, carried(table, codes, inside, starts, lengths, state[k, back], made[k, back]), len(texts))
         return counts, sizes
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
@@ -197,7 +268,7 @@ class Parser:
         return out
 
 
-def carried(table: np.ndarray, root: int, codes: np.ndarray, inside: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ends: np.ndarray, made: np.ndarray) -> np.ndarray:
+def carried(table: Dense | Displaced, codes: np.ndarray, inside: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ends: np.ndarray, made: np.ndarray) -> np.ndarray:
     """Phrases that begin in each lane when the parse goes on from the lane before.
     made and ends are those of parses that begin anew with each lane. Both parses
     of a lane are followed until they are in one state. A lane where they never
@@ -206,17 +277,13 @@ def carried(table: np.ndarray, root: int, codes: np.ndarray, inside: np.ndarray,
     todo = np.flatnonzero(inside)
     while len(todo):
         lane, at = todo, starts[todo]
-        own, anew = ends[lane - 1], np.full(len(lane), root, np.int32)
+        own, anew = ends[lane - 1], np.full(len(lane), table.start, np.int32)
         fixed[lane] = made[lane]
         late = []
         for j in range(LANE):
             column = codes[at]
-            to = table[own + column]
-            failed = to >> 31
-            own = to ^ failed
-            other = table[anew + column]
-            lost = other >> 31
-            anew = other ^ lost
+            own, failed = table.step(own, column)
+            anew, lost = table.step(anew, column)
             fixed[lane] += lost - failed
             apart = own != anew
             over = apart & (lengths[lane] == j + 1)

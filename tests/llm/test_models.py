@@ -52,6 +52,68 @@ def test_every_language_is_learned_within_the_bounds(spark):
     assert len(learned) == 301 and learned["long"] == "eta " * 9000 and "delta" not in learned["l001"] and 1000 <= len(learned["l000"]) < 1700
 
 
+def test_a_sample_is_bounded_however_many_labels_and_long_texts(spark):
+    rows = [(i, f"alpha beta {i} " * 40, f"l{i % 1500:04d}") for i in range(3000)] + [(5000 + i, "theta " * 30, "most") for i in range(9)] + [(6000, "eta " * 90_000, "long"), (6001, "iota", "long"), (6002, "eta " * 90_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = dict(languages.sample(docs, chars=1000, total=10_000, most_languages=100))
+    assert len(learned) == 100 and {"most", "long", "l0000", "l0097"} <= set(learned) and "l0098" not in learned
+    assert max(map(len, learned.values())) <= 100 + 64 and learned["l0000"].startswith("alpha beta")
+    only = languages.sample(docs.where("doc_id = 6000"), chars=1000, total=10_000)
+    assert only == (("long", ("eta " * 90_000)[:10_000]),)
+
+
+def test_rows_laid_over_each_other_lead_where_a_matrix_leads():
+    rnd = random.Random(3)
+    for symbols, length in ((2, 50), (6, 4000), (700, 5000), (60, 1)):
+        edges = languages.SuffixAutomaton([int(symbols * rnd.random() ** 3) for _ in range(length)]).next
+        dense, laid = languages.Dense(edges, symbols + 2), languages.Displaced(edges, symbols + 2)
+        a, b = np.full(9, dense.start, np.int32), np.full(9, laid.start, np.int32)
+        for _ in range(3000):
+            column = np.array([int((symbols + 2) * rnd.random() ** 3) for _ in range(9)], np.uint16)
+            (a, lost), (b, failed) = dense.step(a, column), laid.step(b, column)
+            assert (a == b * (symbols + 2)).all() and (lost == failed).all()
+    full = [{c: 0 for c in range(0, 400, 2)} for _ in range(300)]
+    laid = languages.Displaced(full, 400)
+    every = np.repeat(np.arange(300, dtype=np.int32), 400)
+    assert (laid.step(every, np.tile(np.arange(400, dtype=np.uint16), 300))[1] == np.tile([0, -1], 60_000)).all()
+
+
+def test_tables_of_many_letters_are_small():
+    rnd = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(10_000)]
+    learned = tuple((f"l{k}", "".join(letters[2500 * k + int(2500 * rnd.random() ** 2)] for _ in range(20_000))) for k in range(4))
+    model = languages.Parser(learned)
+    size = sum(x.nbytes for t in model.tables for x in vars(t).values() if isinstance(x, np.ndarray))
+    assert size < 50_000_000
+    assert [p[0] for p in model.predict([t[100:400] for _, t in learned])] == ["l0", "l1", "l2", "l3"]
+
+
+def test_choice_and_score_equal_a_direct_parse(spark):
+    rnd = random.Random(8)
+    texts = {**FOX, "nl": "de snelle bruine vos springt over de luie hond en de andere dieren van het huis"}
+    rows = [(i, " ".join(rnd.sample(t.split(), 9)), k) for k, t in texts.items() for i in range(rnd.randint(0, 5), 90, 7)]
+    rows += [(200 + i, " ".join(rnd.sample(" ".join(texts.values()).split(), 6)), None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = languages.sample(docs.where(~languages.held_out()))
+    clean = lambda t: "".join(c if c.isalpha() else " " for c in t.lower() + " ")
+    known = {k: " ".join(clean(t).split()) + " " for k, t in learned}
+    want = []
+    for doc, text, _ in rows:
+        left, entropy = " ".join(clean(text).split()) + " ", {}
+        for k, sample in known.items():
+            at = made = 0
+            while at < len(left):
+                to = at + 1
+                while to <= len(left) and left[at:to] in sample:
+                    to += 1
+                at, made = max(at + 1, to - 1), made + 1
+            entropy[k] = made * np.log2(len(sample)) / len(left)
+        first, second = sorted(entropy, key=lambda k: (entropy[k], k))[:2]
+        want.append((doc, first, round(entropy[second] / (entropy[first] + entropy[second]), 9)))
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in languages.identify(docs).collect())
+    assert got == sorted(want)
+
+
 def test_recognised_texts_carry_their_language(spark):
     docs = [(i, f"{t} {t[i:]}", k, 1) for k, t in FOX.items() for i in range(30)]
     odd = [(70, "съешь же ещё этих мягких французских булок " * 9, None, 1), (71, FOX["de"], None, 1), (72, None, None, 1), (73, "", None, 1), (None, "house of the dog", None, 1), (71, FOX["de"], None, 1), (74, "lazy", None, 1)]
