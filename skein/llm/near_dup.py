@@ -18,9 +18,10 @@ copies costs about one comparison for each member.
 Defined results: words are runs of letters, digits and underscores in lower
 case; a text of fewer than five words is one shingle; texts without words are
 copies of each other; a null text is empty; rows that share a doc_id are one
-document, compared by the smallest of its texts; a row with a null doc_id is
+document, which is linked through each of its texts; a row with a null doc_id is
 returned with a null class and joins no class, but in deduplication it is a
-document by its text; an empty table gives no rows; other columns do not matter.
+document by its text; an empty table gives no rows; texts of any length are
+compared whole; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ WORDS = 5
 #: of a band in one cell of its grid.
 SLICE, CELL = 256, 1024
 BANDS, ROWS = 32, 4
-SIGNED = "doc_id long, copy binary, bands array<long>"
+SIGNED = "doc_id long, mark long, copy binary, bands array<long>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 word = re.compile(r"\w+").findall
 
@@ -127,7 +128,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """SIGNED of every document: a digest that copies share, and band keys."""
+    """SIGNED of every document: a hash of its text as it stands, a digest that
+    copies share, and band keys."""
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -148,9 +150,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 offsets = np.cumsum([0] + [BANDS if len(h) else 0 for h in hashes])
                 flat = keys[[len(h) > 0 for h in hashes]].ravel()
                 bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(copies, pa.binary()), bands], ["doc_id", "copy", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["mark"], pa.array(copies, pa.binary()), bands], ["doc_id", "mark", "copy", "bands"])
 
-    return documents(docs).mapInArrow(sign, SIGNED)
+    return documents(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(sign, SIGNED)
 
 
 @lru_cache(1024)
@@ -317,18 +319,32 @@ def links(texts: DataFrame, bands: DataFrame, threshold: float, stage: Stages) -
     return strong.union(stage(compared(rest, texts, threshold, stage), "links"))
 
 
-def found_links(docs: DataFrame, threshold: float, stage: Stages) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows with the digest of their copies, the copies with their first
-    document, and verified links between first documents."""
+def found_links(docs: DataFrame, threshold: float, stage: Stages) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows with the digest of their copies; the copies with their first
+    document and their name; links between names of copies that are texts of one
+    document; and verified links between names.
+
+    A copy is named by its first document, but where that has other texts too, by
+    a negative hash of the copy, so that two texts never have one name."""
     all_rows = stage(signed(docs), "signatures")
     named = all_rows.where("doc_id is not null")
-    copies = stage(named.groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "copies")
-    bands = copies.select(F.col("first").alias("doc_id"), F.explode("bands").alias("band"))
+    several = named.groupBy("doc_id").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high")
+    several = stage(several.select("doc_id", "low"), "several")
+    copies = named.groupBy("copy").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("bands").alias("bands"))
+    own = F.when(F.col("several").isNull(), F.col("first")).otherwise(F.xxhash64("copy").bitwiseOR(F.lit(-1 << 63)))
+    copies = copies.select("copy", "bands", F.col("one.doc_id").alias("first"), F.col("one.mark").alias("mark"))
+    copies = copies.join(several.select(F.col("doc_id").alias("first"), F.lit(True).alias("several")), "first", "left")
+    copies = stage(copies.select("copy", "first", "mark", own.alias("name"), "bands"), "copies")
+    texts_of_one = named.join(several, "doc_id").where("copy > low").select("low", "copy").distinct()
+    texts_of_one = texts_of_one.join(copies.select("copy", F.col("name").alias("a")), "copy").join(copies.select(F.col("copy").alias("low"), F.col("name").alias("b")), "low").select("a", "b")
+    bands = copies.select(F.col("name").alias("doc_id"), F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     bands = stage(bands.join(shared, "band"), "bands")
-    wanted = bands.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id")
-    texts = documents(docs).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return all_rows, copies, links(stage(texts, "candidates"), bands, threshold, stage)
+    wanted = bands.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("doc_id").alias("name"))
+    wanted = wanted.join(copies.select("name", "first", "mark"), "name").withColumnRenamed("first", "doc_id")
+    texts = documents(docs).withColumn("mark", F.xxhash64("text")).join(wanted, ["doc_id", "mark"])
+    texts = texts.groupBy(F.col("name").alias("doc_id")).agg(F.min("text").alias("text"))
+    return all_rows, copies.select("copy", "first", "name"), texts_of_one, links(stage(texts, "candidates"), bands, threshold, stage)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -336,24 +352,27 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     the class. Documents are in one class if a chain of links of at least the
     threshold, or of equal word sequences, joins them."""
     with Stages(ship(docs.sparkSession), "near-duplicates") as stage:
-        all_rows, copies, found = found_links(docs, threshold, stage)
-        named = all_rows.where("doc_id is not null")
-        several = named.groupBy("doc_id").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low < high").select("doc_id")
-        one = named.join(several, "doc_id", "left_semi").join(copies, "copy").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        roots = components(found.union(one), stage)
-        placed = all_rows.select("doc_id", "copy").join(copies.select("copy", "first"), "copy", "left")
-        placed = placed.join(roots, placed["first"] == roots["node"], "left")
-        return staged(placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id")), "classes")
+        all_rows, copies, texts_of_one, found = found_links(docs, threshold, stage)
+        roots = components(found.union(texts_of_one), stage)
+        # Roots are names; the class id is the smallest first document under one.
+        rooted = copies.join(roots, copies["name"] == roots["node"], "left").select("copy", "first", "root")
+        least = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+        rooted = rooted.join(least, "root", "left").select("copy", F.coalesce("least", "first").alias("class"))
+        placed = all_rows.select("doc_id", "copy").join(rooted, "copy", "left")
+        return staged(placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class_id")), "classes")
 
 
 def linked(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """The links behind the classes: (doc_id, first) names for each document the
-    first one with the same words, and (a, b) are verified links between such
-    firsts that hold every class together."""
+    first one with the same words, one row for each of its texts, and (a, b) are
+    verified links between the texts of such firsts that, with the texts of one
+    document, hold every class together."""
     with Stages(ship(docs.sparkSession), "near-duplicates") as stage:
-        all_rows, copies, found = found_links(docs, threshold, stage)
+        all_rows, copies, _, found = found_links(docs, threshold, stage)
         firsts = all_rows.where("doc_id is not null").join(copies, "copy").select("doc_id", "first").distinct()
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        first = copies.select("name", "first")
+        pairs = found.join(first.toDF("a", "first_a"), "a").join(first.toDF("b", "first_b"), "b")
+        pairs = pairs.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")).distinct()
         return staged(firsts, "firsts"), staged(pairs, "links")
 
 

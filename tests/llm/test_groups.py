@@ -73,6 +73,34 @@ def test_rows_with_one_id_are_one_document(make):
     assert got == {(5, 3), (3, 3)}
 
 
+def test_a_text_of_a_document_with_several_texts_keeps_its_links(make):
+    rnd = random.Random(2)
+    a, b, c = ([f"{x}{rnd.randint(0, 999)}" for _ in range(60)] for x in "abc")
+    near = [*b[:30], "changed", *b[31:]]
+    join = " ".join
+    for one, other in ((a, b), (b, a)):
+        rows = [(5, join(one)), (5, join(other)), (7, join(b)), (9, join(near)), (3, join(c)), (11, join(c)), (11, join(a).upper()), (20, "alone here")]
+        got = {(r["doc_id"], r["class_id"]) for r in near_dup.classes(make(rows)).collect()}
+        assert got == {(5, 3), (7, 3), (9, 3), (3, 3), (11, 3), (20, 20)}
+        without = {(r["doc_id"], r["class_id"]) for r in near_dup.classes(make(rows[2:])).collect()}
+        assert without == {(7, 7), (9, 7), (3, 3), (11, 3), (20, 20)}
+
+
+def test_texts_of_one_hot_id_are_one_document(spark):
+    """One id with 3,000 texts, of which one is a near copy of another document."""
+    body = "array_join(transform(sequence(0, 39), j -> concat('t', id, 'w', j)), ' ')"
+    docs = spark.range(3000).selectExpr("7L as doc_id", f"{body} as text").union(spark.range(5, 6).selectExpr("2L", f"concat({body}, ' end')")).union(spark.range(9000, 9050).selectExpr("id", body))
+    got = {tuple(r) for r in near_dup.classes(docs).distinct().collect()}
+    assert got == {(7, 2), (2, 2)} | {(i, i) for i in range(9000, 9050)}
+
+
+def test_a_very_long_text_and_its_near_copy(make):
+    rnd = random.Random(6)
+    long = [f"w{rnd.randint(0, 10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[2000:])), (3, "w " * 400_000), (4, "w " * 390_000), (5, " ".join(long[:9000]))]
+    assert {tuple(r) for r in near_dup.classes(make(rows)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+
+
 def test_near_duplicates_of_an_empty_table(make):
     assert near_dup.classes(make([(1, "a")]).where("false")).count() == 0
 
