@@ -3,6 +3,13 @@
 Language identification drops texts that it rejects and writes the language it
 predicts for the others into lang, near duplicates leave one document of each class, documents that hold a benchmark
 item go, secrets are replaced in the texts, and what is left is packed.
+
+Defined results: a text that is null, empty or without letters is rejected by the
+first stage; of rows that share a doc_id one stays, the one whose text comes
+first; a row with a null doc_id is a document by its text, and of equal ones one
+stays; of a class the smallest doc_id stays; texts of any length are read whole;
+an empty table gives no rows; the stages before the last return all columns of
+the table and change text and lang alone.
 """
 
 from __future__ import annotations
