@@ -8,7 +8,8 @@ character is. So the counts of a document's sections add up to its tokens.
 
 Defined results: a null or empty text is one empty section without tokens; a
 text that ends with a line end has no section after it; a null doc_id is kept;
-repeated rows are counted as rows of their own; an empty table gives no rows.
+repeated rows are counted as rows of their own; an empty table gives no rows;
+other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations

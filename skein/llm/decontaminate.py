@@ -20,7 +20,8 @@ an item is one window; a null text is empty; rows that share a doc_id are
 reported if one of them holds the item; a null doc_id is not reported; when
 documents are filtered, each row is judged by its own text, whatever its id;
 equal items are reported each; of windows with equal similarity the first
-counts; empty tables give no rows.
+counts; empty tables give no rows; other columns do not matter, whatever their
+names, and are kept when documents are filtered.
 """
 
 from __future__ import annotations
