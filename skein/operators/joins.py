@@ -67,11 +67,19 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
 def ranges_of(value: Column, edges: list[float]) -> Column:
     """The range of a value between sorted edges. A value that stands for several
     edges, as one that many rows have does, is dealt to all ranges that it touches."""
-    marks = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
-    low, high = F.size(F.filter(marks, lambda e: e < value)), F.size(F.filter(marks, lambda e: e <= value))
+    low, high = edges_until(value, edges, False), edges_until(value, edges, True)
     return (low + F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), high - low + 1)).cast("int")
 
 
+def edges_until(value: Column, edges: list[float], equal: bool) -> Column:
+    """How many of the sorted edges are smaller than a value, or equal if wanted. Found by
+    halving, as there are the more edges the more rows there are."""
+    marks = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))]).cast("array<int>")
+    before = lambda e: (e <= value) if equal else (e < value)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(before(F.get(marks, n + step - 1)), n + step).otherwise(n))
+
+
 def quantile_edges(df: DataFrame, value: str, ranges: int) -> list[float]:
     """About equal numbers of rows between the edges; no row comes to the driver."""
     if ranges < 2:
@@ -83,8 +91,10 @@ def quantile_edges(df: DataFrame, value: str, ranges: int) -> list[float]:
 def regions(left: DataFrame, right: DataFrame, low: str, high: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides dealt to the regions (__i, __j) of the join matrix in which low < high
     is possible. The matrix is cut at quantiles of both sides so that a region has about
-    `rows` rows of each; a row goes to the regions of its row or column that are not empty."""
-    sides = [left.where(F.col(low).isNotNull()), right.where(F.col(high).isNotNull())]
+    `rows` rows of each; a row goes to the regions of its row or column that are not empty.
+    Rows beyond all values of the other side have no pairs and no part in the cut."""
+    ends = [left.agg(F.min(low)).head()[0], right.agg(F.max(high)).head()[0]]
+    sides = [left.where(F.col(low) < F.lit(ends[1])), right.where(F.col(high) > F.lit(ends[0]))]
     cuts = [quantile_edges(df, c, -(-df.count() // rows)) for df, c in zip(sides, (low, high))]
     # The least value of a range of the left, and the largest of one of the right.
     least, most = [float("-inf"), *cuts[0]], [*cuts[1], float("inf")]
@@ -108,3 +118,34 @@ def theta_join(left: DataFrame, right: DataFrame, keys: list[str], low: str, hig
     a null key or value have no pairs; the keys appear once."""
     a, b = regions(left, right, low, high, rows)
     return a.join(b, ["__i", "__j", *keys]).where(F.col(low) < F.col(high)).drop("__i", "__j")
+
+
+def theta_totals(left: DataFrame, right: DataFrame, keys: list[str], low: str, high: str, sums: dict[str, str]) -> DataFrame:
+    """The left rows that have pairs in `theta_join`, each with `pairs`, their number, and for
+    each name the sum of a column of the right over them. No pair is made, so the work grows
+    with the rows and not with their product: the right side is summed up for each key and
+    value, and the sums run along the values from the largest down, over ranges of them first.
+    A range has about equal numbers of rows; a task holds the left rows of one value."""
+    totals = {"pairs": F.count("*")} | {name: F.sum(f"__{name}") for name in sums}
+    values = right.select(*keys, F.col(high).alias("__value"), *[F.col(c).alias(f"__{name}") for name, c in sums.items()])
+    values = values.where("__value is not null").groupBy(*keys, "__value").agg(*[c.alias(name) for name, c in totals.items()])
+    own = left.where(F.col(low) < F.lit(right.agg(F.max(high)).head()[0]))
+    columns = [c for c in left.columns if c not in keys]
+    row = F.struct(*columns).alias("__row")
+    no_row = F.lit(None).cast(own.select(row).schema[0].dataType).alias("__row")
+    nothing = [F.lit(None).cast(values.schema[name].dataType).alias(name) for name in totals]
+    a = own.select(*keys, F.col(low).alias("__value"), F.lit(0).alias("__side"), row, *nothing)
+    b = values.select(*keys, "__value", F.lit(1).alias("__side"), no_row, *totals)
+    both = a.unionByName(b)
+    edges = quantile_edges(both, "__value", int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = both.withColumn("__range", edges_until(F.col("__value").cast("double"), edges, True))
+    # One row for each range of a key.
+    above = Window.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = both.groupBy(*keys, "__range").agg(*[F.sum(name).alias(name) for name in totals])
+    ranges = ranges.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"), *[F.sum(name).over(above).alias(f"__{name}") for name in totals])
+    # Of equal values the left ones come first: a right one is not above them.
+    inside = Window.partitionBy(*keys, "__range").orderBy(F.desc("__value"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    summed = both.withColumns({name: F.sum(name).over(inside) for name in totals}).where("__side = 0")
+    found = summed.join(ranges, [F.col("__range") == F.col("__r"), *[F.col(k) == F.col(f"__k_{k}") for k in keys]])
+    total = {name: F.coalesce(F.col(name) + F.col(f"__{name}"), name, f"__{name}") for name in totals}
+    return found.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in columns], *[c.alias(name) for name, c in total.items()]).where("pairs is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.joins import theta_join, top_n_per_key
+from skein.operators.joins import theta_totals, top_n_per_key
 from skein.plans.registry import query
 from skein.sources import formats
 from skein.sources.calendar import calendar_source
@@ -172,18 +172,18 @@ def join4_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier")
     poorer = rows.select("s_nationkey", "s_suppkey", F.col("s_acctbal").alias("low"))
     richer = rows.select("s_nationkey", F.col("s_acctbal").alias("high"))
-    return theta_join(poorer, richer, ["s_nationkey"], "low", "high").groupBy("s_suppkey").agg(F.count("*").alias("richer"))
+    return theta_totals(poorer, richer, ["s_nationkey"], "low", "high", {}).groupBy("s_suppkey").agg(F.sum("pairs").alias("richer"))
 
 
 @query("""
     SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey % 7 * (c_custkey % 5)) AS BIGINT) AS mixed FROM orders JOIN customer ON o_totalprice < c_acctbal
     WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderstatus""")
 def join4_theta_without_a_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    builders = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_acctbal")
-    pairs = theta_join(orders, builders, [], "o_totalprice", "c_acctbal", rows=5000)
-    mixed = F.col("o_orderkey") % 7 * (F.col("c_custkey") % 5)
-    return pairs.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(mixed).alias("mixed"))
+    """A sum of products over pairs is made of the sums of both sides, so no pair is made."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_totalprice").agg(F.count("*").alias("rows"), F.sum(F.col("o_orderkey") % 7).alias("left"))
+    builders = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey") % 5, "c_acctbal").toDF("rest", "c_acctbal")
+    found = theta_totals(orders, builders, [], "o_totalprice", "c_acctbal", {"right": "rest"})
+    return found.groupBy("o_orderstatus").agg(F.sum(F.col("rows") * F.col("pairs")).alias("n"), F.sum(F.col("left") * F.col("right")).alias("mixed"))
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_regionkey <> r_regionkey")

@@ -42,6 +42,35 @@ def test_regions_are_bounded_and_empty_ones_are_left_out(spark):
     assert largest[1] <= 1.6 * 500 and largest[0] <= 1.6 * 500
 
 
+def test_theta_totals_equal_all_pairs_and_make_none(spark):
+    left, right, a, b = sides(spark, 150, 3)
+    left, a = left + left[:40], a.union(a.limit(0)).union(spark.createDataFrame(left[:40], a.schema))
+    for keyed in (True, False):
+        above = lambda k, v: [j for m, j, w in right if v is not None and w is not None and v < w and (not keyed or (k and k == m))]
+        want = sorted((i, len(y), sum(y)) for k, i, v in left if (y := above(k, v)))
+        keys, sides_ = (["k"], (a, b)) if keyed else ([], (a.drop("k"), b.drop("k")))
+        got = joins.theta_totals(*sides_, keys, "low", "high", {"total": "y"})
+        assert sorted((r["x"], r["pairs"], r["total"]) for r in got.collect()) == want
+        assert joins.theta_totals(sides_[0].where("false"), sides_[1], keys, "low", "high", {"total": "y"}).count() == 0
+        assert joins.theta_totals(sides_[0], sides_[1].where("false"), keys, "low", "high", {"total": "y"}).count() == 0
+    same = spark.createDataFrame([(u, u % 3, u % 7) for u in range(50)], "u int, k int, v int")
+    got = joins.theta_totals(same.selectExpr("k", "u", "v low"), same.selectExpr("k", "v high"), ["k"], "low", "high", {})
+    assert sorted((r["u"], r["pairs"]) for r in got.collect()) == sorted((u, n) for u in range(50) if (n := sum(w % 3 == u % 3 and w % 7 > u % 7 for w in range(50))))
+    many = spark.range(200_000).selectExpr("id % 1000 x", "cast(id % 1000 as double) low")
+    one = joins.theta_totals(many, many.selectExpr("x y", "low high"), [], "low", "high", {"total": "y"}).agg(F.sum("pairs"), F.count("*")).head()
+    assert tuple(one) == (200 * 200 * 999 * 500, 199_800)  # 2 * 10^10 pairs
+
+
+def test_rows_beyond_the_other_side_take_no_part_in_the_cut(spark):
+    a = spark.range(10_000).selectExpr("id x", "cast(id as double) low")
+    b = spark.range(100).selectExpr("id y", "cast(id as double) high")
+    i, j = joins.regions(a, b, "low", "high", 50)
+    assert i.agg(F.max("low")).head()[0] < 99 and i.select("__i").distinct().count() == 2 and j.where("high <= 0").count() == 0
+    edges = [0.0, 1.0, 1.0, 2.5, 7.0]
+    got = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 1.0, 2.0, 2.5, 7.0, 8.0)], "v double").select("v", *(joins.edges_until(F.col("v"), edges, e).alias(str(e)) for e in (False, True)))
+    assert [tuple(r)[1:] for r in got.collect()] == [(sum(e < v for e in edges), sum(e <= v for e in edges)) for v in (-1.0, 0.0, 1.0, 2.0, 2.5, 7.0, 8.0)]
+
+
 WANT = """
     select id, k, lag(x, 3, -7) over w a, lag(s, 1) over w b, lead(x, 2) over w c, first_value(id) over w d, last_value(x) over v e, nth_value(id, 4) over v f from sliced
     window w as (partition by k order by x desc nulls first, id), v as (partition by k order by x desc nulls first, id rows between unbounded preceding and unbounded following)"""
