@@ -12,6 +12,12 @@ into slices by a hash of row and place, so that one with a third of all rows is
 tasks; a query goes to each slice. Nothing is dropped: what is approximate is only which
 buckets a query visits. Without a bit there is one bucket, and the search is exact.
 
+How many bits a sketch has and how many buckets a query visits is fitted: the exact
+neighbours of SAMPLE queries, by a hash of their ids, are found among all rows, and it is seen
+at which probe each of them is met. Of the sizes that meet TARGET of them the cheapest is taken. With
+all buckets visited all are met, so there always is one. A fixed number of probes would
+find fewer and fewer as tables grow.
+
 Defined results: vectors that are null, empty, of length zero or hold a null, NaN or
 infinite component take no part, nor do null keys; vectors of different length are not
 compared; rows with a query's own key are not its neighbours; a key that stands for
@@ -21,8 +27,9 @@ the smaller key; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -32,8 +39,13 @@ from skein.session import ship
 
 SLICE = 16_384
 CHUNK = 512
-#: Rows that a bucket is meant to have.
+#: Rows that a bucket has at least, on average.
 BUCKET = 128
+#: Queries that the fit looks at, the share of their neighbours to be met, and what a visit
+#: of a bucket costs in rows scored.
+SAMPLE, TARGET, VISIT = 64, 0.95, 512
+#: Bits beyond which no fit is tried.
+MOST_BITS = 16
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -54,12 +66,56 @@ def planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
 
 def probes(side: np.ndarray, most: int) -> list[int]:
     """Sketches to visit for one query and table, given its signed distances from the
-    planes: its own, then by the squared distances crossed, with up to two bits turned."""
+    planes: its own, then by the squared distances crossed."""
     own = int(sum(1 << i for i, x in enumerate(side) if x > 0))
-    cost = side**2
-    near = np.argsort(cost, kind="stable")[:most].tolist()
-    turns = [(0.0, 0)] + [(cost[i], 1 << i) for i in near] + [(cost[i] + cost[j], 1 << i | 1 << j) for i, j in combinations(near, 2)]
-    return [own ^ mask for _, mask in sorted(turns)[:most]]
+    near = np.argsort(side**2, kind="stable").tolist()
+    cost = (side**2)[near].tolist()
+    found, heap = [own], [(cost[0], (0,))]
+    # A set of turned bits is followed by the one with its last bit moved on, and with the next bit added.
+    while heap and len(found) < most:
+        crossed, turned = heapq.heappop(heap)
+        found.append(own ^ sum(1 << near[i] for i in turned))
+        if (i := turned[-1] + 1) < len(cost):
+            heapq.heappush(heap, (crossed + cost[i], (*turned, i)))
+            heapq.heappush(heap, (crossed - cost[i - 1] + cost[i], (*turned[:-1], i)))
+    return found
+
+
+def places(query: np.ndarray, others: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    """The probe, from 0, at which a query meets each of the other vectors in the table where
+    it does so first."""
+    p = planes(len(query), tables, bits, seed)
+    sides, theirs = (p @ query).reshape(tables, bits), (others @ p.T).reshape(len(others), tables, bits)
+    turned = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    first = np.full(len(others), 1 << bits)
+    for t in range(tables):
+        cost = sides[t] ** 2
+        every = np.sort(turned @ cost)
+        own = ((theirs[:, t] > 0) != (sides[t] > 0)) @ cost
+        # A hair more, so that a sum made in another order does not put a place too early.
+        first = np.minimum(first, np.maximum(np.searchsorted(every, own + 1e-12, "right") - 1, 0))
+    return first
+
+
+def fitted(base: DataFrame, queries: DataFrame, k: int, tables: int, sizes: list[int], rows: int, seed: int) -> tuple[int, int]:
+    """(bits, probes): of the sizes of sketches the one with the cheapest search that meets TARGET of
+    the exact neighbours of a sample. SAMPLE queries and their neighbours come to the driver."""
+    chosen = queries.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).collect()
+    asked = {(r["id"], r["dim"]): np.array(r["v"]) for r in chosen}
+    truth = exact(base, base.sparkSession.createDataFrame(chosen, queries.schema), k).select("query_id", "id") if chosen else None
+    near = base.join(F.broadcast(truth), "id").groupBy("query_id", "id", "dim").agg(F.first("v").alias("v")).collect() if chosen else []
+    groups: dict[tuple, list] = {}
+    for r in near:
+        if (r["query_id"], r["dim"]) in asked:
+            groups.setdefault((r["query_id"], r["dim"]), []).append(r["v"])
+    best = None
+    for bits in sizes:
+        met = [places(asked[key], np.array(v), tables, bits, seed) for key, v in groups.items()]
+        at = np.sort(np.concatenate(met)) if met else np.zeros(1, int)
+        most = int(at[math.ceil(TARGET * len(at)) - 1]) + 1
+        cost = most * (VISIT + rows / (1 << bits))
+        best = min(best or (cost, bits, most), (cost, bits, most))
+    return best[1:]
 
 
 def dealt(rows: DataFrame, tables: int, bits: int, most: int, seed: int) -> DataFrame:
@@ -177,11 +233,14 @@ def exact(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return searched(base, queries, k, tables=1, bits=0, most=1)
 
 
-def approximate(base: DataFrame, queries: DataFrame, k: int, tables: int = 8, most: int = 16, bits: int | None = None, seed: int = 0) -> DataFrame:
-    """By default as many bits as leave about BUCKET rows in a bucket."""
-    if bits is None:
-        bits = max(1, min(30, int(np.ceil(np.log2(max(2, base.count()) / BUCKET)))))
-    return searched(base, queries, k, tables, bits, most, seed)
+def approximate(base: DataFrame, queries: DataFrame, k: int, tables: int = 8, most: int | None = None, bits: int | None = None, seed: int = 0) -> DataFrame:
+    """`bits` of a sketch and `most`, the buckets that a query visits in a table, are fitted if
+    not given. A sketch has no more bits than leave about BUCKET rows in a bucket."""
+    rows = base.count() if bits is None or most is None else 0
+    largest = bits or max(1, min(MOST_BITS, int(np.ceil(np.log2(max(2, rows) / BUCKET)))))
+    if most is None:
+        bits, most = fitted(base, queries, k, tables, [bits] if bits else list(range(1, largest + 1)), rows, seed)
+    return searched(base, queries, k, tables, bits or largest, most, seed)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -75,6 +75,34 @@ def test_recall_against_exact_neighbours(spark):
     assert r["n"] > 4000 and r["hits"] >= 0.9 * r["n"]
 
 
+def test_probes_are_fitted_where_a_few_would_not_do(spark, monkeypatch):
+    """Nearly random vectors in small buckets: 16 probes meet fewer than nine tenths."""
+    monkeypatch.setattr(neighbours, "BUCKET", 4)
+    monkeypatch.setattr(neighbours, "VISIT", 1)
+    rnd = np.random.default_rng(4)
+    base, queries = sides(spark, [(k, rnd.normal(size=32).tolist()) for k in range(4000)])
+    truth = neighbours.exact(base, queries, k=10).cache()
+    share = lambda **x: (r := neighbours.recall(neighbours.approximate(base, queries, k=10, **x), truth).head())["hits"] / r["n"]
+    assert share(most=16) < 0.85 and share() >= 0.9 and share(bits=9) >= 0.9
+    assert neighbours.approximate(base, queries.where("false"), k=10).count() == 0
+    assert neighbours.approximate(*sides(spark, []), k=10).count() == 0
+
+
+def test_places_are_those_of_the_probes():
+    rnd = np.random.default_rng(5)
+    query, others = rnd.normal(size=6), rnd.normal(size=(40, 6))
+    p, want = neighbours.planes(6, 3, 7, 1), []
+    for v in others:
+        at = []
+        for t in range(3):
+            code = int(sum(1 << i for i, x in enumerate(p[7 * t : 7 * t + 7] @ v) if x > 0))
+            every = neighbours.probes(p[7 * t : 7 * t + 7] @ query, 1000)
+            assert len(set(every)) == len(every) == 128
+            at.append(every.index(code))
+        want.append(min(at))
+    assert neighbours.places(query, others, 3, 7, 1).tolist() == want
+
+
 def test_probes_go_by_the_distances_crossed():
     side = np.array([0.9, -0.1, 0.3, -2.0])
     assert neighbours.probes(side, 5) == [0b0101, 0b0111, 0b0001, 0b0011, 0b0100]
