@@ -1,11 +1,13 @@
 """State that ends: sessions closed by event-time timers, keys forgotten after a time to
 live, and the state of a stream read back as a table.
 
-A user's state is one open session. A row within the gap of the session's last row extends
-it; a later one closes it and opens the next. A timer at the end of the gap closes a
-session when the watermark passes it, so a user who does not come back leaves no
-state behind. Rows of a batch are put in order for each user first; rows behind the watermark
-are dropped before they come here.
+Users are dealt to BUCKETS by a hash, and a bucket is a key of the state: it holds the open
+sessions of its users and one timer, at the first end of a gap. A batch is read, merged with
+what is open and written back at once for a bucket, so its cost is not a call of the
+worker and several of the state store for each user. Sessions are closed when the
+watermark has passed their gap, so rows may come in any order that it allows, and a user
+who does not come back leaves no state behind. Rows behind the watermark are dropped
+before they come here.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 SESSION = "user_id long, start long, stop long, n long"
+OPEN = "user_id array<long>, start array<long>, stop array<long>, n array<long>"
+#: A bucket's state is one value: at a million open sessions it has about a thousand of them.
+BUCKETS = 1024
 
 
 @contextmanager
@@ -43,39 +49,57 @@ def rocks_db(spark: SparkSession, idle: bool = True) -> Iterator[None]:
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
+def merged(user: np.ndarray, start: np.ndarray, stop: np.ndarray, n: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
+    """Spans of users joined where the next one starts within the gap of all before it."""
+    if not len(user):
+        return user, start, stop, n
+    order = np.lexsort((start, user))
+    user, start, stop, n = user[order], start[order], stop[order], n[order]
+    users = np.flatnonzero(np.r_[True, user[1:] != user[:-1]])
+    until = np.concatenate([np.maximum.accumulate(part) for part in np.split(stop, users[1:])])
+    first = np.r_[True, (user[1:] != user[:-1]) | (start[1:] - until[:-1] >= gap)]
+    at = np.flatnonzero(first)
+    return user[at], start[at], np.maximum.reduceat(stop, at), np.add.reduceat(n, at)
+
+
 def session_processor(gap_micros: int) -> StatefulProcessor:
     """Times are microseconds; timers, which are in milliseconds, are set to the first
-    one at which the gap is over."""
+    one at which a gap is over."""
 
     class Sessions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.open = handle.getValueState("session", "start long, stop long, n long")
+            self.open = handle.getValueState("session", OPEN)
 
-        def timer(self, stop: int) -> int:
+        def known(self) -> list[np.ndarray]:
+            return [np.array(c, dtype=np.int64) for c in (self.open.get() if self.open.exists() else ([], [], [], []))]
+
+        def ends(self, stop: np.ndarray) -> np.ndarray:
             return -(-(stop + gap_micros) // 1000)
 
+        def keep(self, spans: tuple[np.ndarray, ...]) -> None:
+            self.open.update(tuple(c.tolist() for c in spans))
+            self.handle.registerTimer(int(self.ends(spans[2]).min()))
+
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            times = pd.concat([f["micros"] for f in rows]).sort_values().tolist()
-            start, stop, n = self.open.get() if self.open.exists() else (times[0], times[0], 0)
-            if n:
-                self.handle.deleteTimer(self.timer(stop))
-            closed = []
-            for t in times:
-                if n and t - stop >= gap_micros:
-                    closed.append((key[0], start, stop, n))
-                    start, n = t, 0
-                stop, n = max(stop, t) if n else t, n + 1
-            self.open.update((start, stop, n))
-            self.handle.registerTimer(self.timer(stop))
-            yield pd.DataFrame(closed, columns=["user_id", "start", "stop", "n"]).astype("int64")
+            known = self.known()
+            if len(known[0]):
+                self.handle.deleteTimer(int(self.ends(known[2]).min()))
+            for f in rows:
+                user, times = f["user_id"].to_numpy("int64"), f["micros"].to_numpy("int64")
+                fresh = merged(user, times, times, np.ones(len(user), np.int64), gap_micros)
+                known = [np.concatenate(c) for c in zip(known, fresh)]
+            self.keep(merged(*known, gap_micros))
+            return iter(())
 
         def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.open.exists():
-                start, stop, n = self.open.get()
-                if self.timer(stop) <= expiredTimerInfo.getExpiryTimeInMs():
-                    self.open.clear()
-                    yield pd.DataFrame([(key[0], start, stop, n)], columns=["user_id", "start", "stop", "n"])
+            known = self.known()
+            over = self.ends(known[2]) <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            if over.all():
+                self.open.clear()
+            else:
+                self.keep(tuple(c[~over] for c in known))
+            yield pd.DataFrame({name: c[over] for name, c in zip(("user_id", "start", "stop", "n"), known)})
 
         def close(self) -> None:
             pass
@@ -90,7 +114,8 @@ def timed_sessions(events: DataFrame, batch, gap_seconds: int, delay: str) -> tu
 
     def build(stream: DataFrame) -> DataFrame:
         rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("micros", F.unix_micros("ts")).withWatermark("ts", delay)
-        return rows.groupBy("user_id").transformWithStateInPandas(session_processor(gap_seconds * 1_000_000), SESSION, "append", "eventtime")
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
+        return rows.groupBy("bucket").transformWithStateInPandas(session_processor(gap_seconds * 1_000_000), SESSION, "append", "eventtime")
 
     with rocks_db(spark):
         closed, progress = replayed(events, batch, build)
@@ -101,7 +126,7 @@ def timed_sessions(events: DataFrame, batch, gap_seconds: int, delay: str) -> tu
 def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The state of a session stream, read with the state data source."""
     state = spark.read.format("statestore").option("stateVarName", "session").load(checkpoint)
-    return times(state.select(F.col("key.user_id"), "value.*"))
+    return times(state.select(F.inline(F.arrays_zip("value.user_id", "value.start", "value.stop", "value.n"))))
 
 
 def times(sessions: DataFrame) -> DataFrame:

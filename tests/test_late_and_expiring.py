@@ -48,6 +48,18 @@ def test_timers_close_sessions_and_state_holds_the_open_ones(spark):
     assert spark.conf.get(expiry.PROVIDER) != expiry.ROCKS_DB
 
 
+def test_many_users_share_a_state_and_rows_come_in_any_order(spark):
+    """Rows of a later batch lie before, inside and between the open sessions of their users, of
+    which there are more than buckets; the state has no row for each of them."""
+    rows = [(u, m) for u in range(3000) for m in ((60, 65, 90), (57, 67, 75), (20, 100))[u % 3]] + [(u, m) for u in range(0, 3000, 3) for m in (40, 70, 80)]
+    late = {40, 70, 80}
+    df = spark.createDataFrame([(u, at(m), 1 if m in late else 0) for u, m in rows], "user_id long, ts timestamp_ntz, b int").repartition(3)
+    closed, still, progress = expiry.timed_sessions(df, F.col("b"), gap_seconds=600, delay="2 hours")
+    shape = lambda d: sorted((r["user_id"], round((r["start"] - T).total_seconds() / 60), round((r["stop"] - T).total_seconds() / 60), r["n"]) for r in d.collect())
+    assert closed.count() == 0 and shape(still) == sessions(rows, 10)
+    assert all(p["state"] <= 3 * expiry.BUCKETS for p in progress)
+
+
 def test_keys_are_forgotten_after_their_time_to_live(spark):
     df = spark.createDataFrame([(k, b) for b in range(3) for k in (1, 2)] + [(3, 2)], "k long, b int")
     seen = {}
